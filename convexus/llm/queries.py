@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import near_embeddings, sharding, topk, url_filter
+from . import bpe, near_embeddings, packing, sharding, topk, url_filter
 
 QUERIES = {
     "op1_near_embeddings": near_embeddings.op1_near_embeddings,
+    "op2_packing": packing.op2_packing,
     "op5_topk": topk.op5_topk,
     "op6_sharding": sharding.op6_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
