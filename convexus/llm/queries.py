@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, near_embeddings, packing, sharding, topk, url_filter
+from . import bpe, kneser_ney, near_embeddings, packing, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_near_embeddings": near_embeddings.op1_near_embeddings,
     "op2_packing": packing.op2_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_topk": topk.op5_topk,
     "op6_sharding": sharding.op6_sharding,
+    "op7_quality": kneser_ney.op7_quality,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_bpe": bpe.op10_bpe,
 }
