@@ -35,7 +35,7 @@ def held_out(key):
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def nn_pu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def nn_pu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model by the non-negative PU risk, in full batches with Adam.
 
     Entries (rows, cols) are the features present; ``positive`` marks the confirmed examples, the others are
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Positives are the at most ``most`` labelled toxic documents with the lowest hashes of their keys, unlabelled
     texts the at most ``2 * most`` documents so chosen, all with keys outside the held-out part. The class prior is
     the share of label 1 among all labelled rows there. Features are those in at least ``least_documents`` of the
-    sample, at most FEATURES, with the largest shift between the two. Null labels and keys and repeated labels
+    sample and shifted by three standard errors, at most FEATURES, with the largest shift between the two. Null labels and keys and repeated labels
     (the largest counts) are no error; without a positive the model's scores are near 0.
     """
     spark = docs.sparkSession
@@ -132,7 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = sample.mapInPandas(count, "hash long, p long, u long").groupBy("hash").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     rate_p, rate_u = (F.col("p") + 0.5) / (n_pos + 1), (F.col("u") + 0.5) / (n_un + 1)
     shift = F.abs(F.sqrt(rate_p) - F.sqrt(rate_u))
-    chosen = counts.where(F.col("p") + F.col("u") >= least_documents).orderBy(F.desc(shift), "hash").limit(FEATURES).collect()
+    sure = F.abs(rate_p - rate_u) / F.sqrt(rate_u * (1 - rate_u) / n_pos) >= 3
+    chosen = counts.where((F.col("p") + F.col("u") >= least_documents) & sure).orderBy(F.desc(shift), "hash").limit(FEATURES).collect()
+    if not chosen:
+        return ToxicityModel(bias=float(np.log(prior / (1 - prior))))
     model = ToxicityModel(np.array(sorted(r["hash"] for r in chosen), np.int64), np.zeros(len(chosen)))
 
     def select(batches):
