@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, kneser_ney, near_embeddings, packing, sharding, topk, toxicity, url_filter
+from . import bpe, kneser_ney, near_documents, near_embeddings, packing, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_near_embeddings": near_embeddings.op1_near_embeddings,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_topk": topk.op5_topk,
     "op6_sharding": sharding.op6_sharding,
     "op7_quality": kneser_ney.op7_quality,
+    "op8_near_documents": near_documents.op8_near_documents,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_bpe": bpe.op10_bpe,
 }
