@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, kneser_ney, near_documents, near_embeddings, packing, sharding, topk, toxicity, url_filter
+from . import bpe, kneser_ney, near_documents, near_embeddings, packing, sharding, suffix_dedup, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_near_embeddings": near_embeddings.op1_near_embeddings,
     "op2_packing": packing.op2_packing,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_topk": topk.op5_topk,
     "op6_sharding": sharding.op6_sharding,
