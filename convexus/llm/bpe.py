@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A worker's memory of words: so many at most, none of them longer than LONGEST; then it starts anew.
-REMEMBERED, LONGEST = 400_000, 96
+REMEMBERED, LONGEST = 600_000, 96
 #: Marks a word's end within the automaton; no byte maps to it.
 END = "￿"
 
@@ -118,6 +118,10 @@ class PrefixBpe:
             ids.append(token)
         return ids[::-1]
 
+    def split_words(self, text: str) -> list[str]:
+        """The words of a text without special tokens, normalized. Letters are lowered one by one: a final sigma is no exception."""
+        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a piece of text without white space, special tokens included."""
         ids: list[int] = []
@@ -125,8 +129,7 @@ class PrefixBpe:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.words.findall(part):
+            for word in self.split_words(part):
                 ids += self.encode_word(word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode()))
         return ids
 

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, chunks_of
+from .bpe import Remembered, chunks_of, coder
 from .common import Scratch
 
 _KNOWN: dict[str, Remembered] = {}
@@ -17,7 +17,8 @@ _KNOWN: dict[str, Remembered] = {}
 def token_bytes(path: str) -> Remembered:
     """This worker's memory of chunks (texts without white space) as little-endian 16-bit ids.
 
-    White space ends words and is dropped by the vocabulary, so a text's ids are those of its chunks in turn.
+    White space ends words and is dropped by the vocabulary, so a text's ids are those of its chunks in turn, and a
+    chunk's are those of its lower-case words, of which there are fewer. A chunk that may hold a special token goes whole.
     """
     if path not in _KNOWN:
         from tokenizers import Tokenizer
@@ -27,7 +28,10 @@ def token_bytes(path: str) -> Remembered:
         tokenizer.no_padding()
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        _KNOWN[path] = Remembered(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes())
+        split = coder(path)[0].split_words
+        word = Remembered(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
+        get = word.__getitem__
+        _KNOWN[path] = Remembered(lambda chunk: word.made(chunk) if "<" in chunk else b"".join(map(get, split(chunk))))
     return _KNOWN[path]
 
 
