@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
-FLAGSHIP = "coverage_gap"
+from .plans import vector_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "pier_p2"
