@@ -13,7 +13,7 @@ keeps equal prefixes next to each other, and buckets are ranges of fingerprints:
 3. Suffixes not yet decided, and those that stand for others, are sorted by their ``least`` bytes.
 
 A task sees one block of texts or one bucket; answers return to the blocks as bitmaps. Blocks are the
-partitions of the input, written as a bucketed table, so texts are never shuffled.
+partitions of the input, or parts of these, written as a bucketed table, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ PERIOD = 133
 COVER = [0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109]
 #: Bytes of a fingerprint besides its bucket's number, by step: a chance tie in the first only costs work.
 REST = {"cover": 6, "long": 7, "suffix": 7}
-#: Entries of a bucket, about, and bytes of text worked on at once.
-BUCKET, STEP = 1 << 20, 1 << 22
+#: Entries of a bucket, bytes of a block, both about, and bytes of text worked on at once.
+BUCKET, BLOCK, STEP = 1 << 20, 1 << 23, 1 << 22
 
 
 class Portion:
@@ -236,10 +236,12 @@ def remove_repeats(docs: DataFrame, least: int = 200, text: str = "text", keep_t
     docs = docs.drop(*names.values())
     table = f"convexus_blocks_{uuid.uuid4().hex}"
     n_buckets = partitions(spark)
-    own = docs.select(F.spark_partition_id().cast("long").alias("_block"), F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in docs.columns])
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = -(-size // (BLOCK * max(1, docs.rdd.getNumPartitions()))) or 1
+    block = F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+    own = docs.select(block.alias("_block"), F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in docs.columns])
     own.write.bucketBy(n_buckets, "_block").option("path", scratch.path("blocks")).option("compression", "zstd").saveAsTable(table)
     blocks = spark.table(table)
-    size = blocks.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = max(4, int(max(size * len(COVER) / PERIOD / BUCKET, 4 * n_buckets)).bit_length())
     told = spark.createDataFrame([], ANSWER)
 
