@@ -320,7 +320,8 @@ def residual_mass_curve(spark, sf_dir):
     return k.select("question", "dose", "place", R9("v").alias("v"), R9(F.col("upto") / F.col("whole")).alias("share"), R9(F.col("place") / F.col("n")).alias("fraction"))
 
 
-@query("topk_overlap", "WITH " + oracle.residuals() + """, o AS (SELECT t, question, dose, row_number() OVER (PARTITION BY t ORDER BY round(avg(abs(res)), 12) DESC, question, dose) AS place FROM r WHERE side = 'eval' AND split_seed = 20260828 GROUP BY ALL),
+@query("topk_overlap", "WITH " + oracle.residuals() + """, v AS (SELECT t, question, dose, round(avg(abs(res)), 12) AS v FROM r WHERE side = 'eval' AND split_seed = 20260828 GROUP BY ALL),
+o AS (SELECT t, question, dose, row_number() OVER (PARTITION BY t ORDER BY v DESC, question, dose) AS place FROM v),
 j AS (SELECT l.t AS t1, r.t AS t2, greatest(l.place, r.place) AS depth FROM o l JOIN o r USING (question, dose) WHERE l.t < r.t)
 SELECT t1, t2, n::INTEGER AS k, (count(*) FILTER (depth <= n))::INTEGER AS common FROM j, range(1, 41) q(n) GROUP BY t1, t2, n""")
 def topk_overlap(spark, sf_dir):
