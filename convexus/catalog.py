@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import coverage_queries, text_queries, vector_queries  # noqa: F401
+from .plans import coverage_queries, fit_queries, resample_queries, text_queries, traffic_queries, vector_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "pier_p2"
