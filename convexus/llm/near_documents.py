@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, partitions
 
-WORDS, REGISTERS, BAND = 5, 96, 4
+WORDS, REGISTERS, BAND = 5, 252, 7
 #: Bits of the map that spares documents without any candidate the way through a shuffle: 1 MB, whatever the input.
 MAP_BITS = 1 << 23
 #: Characters of text that are worked on at once.
-STEP = 1 << 22
+STEP = 1 << 21
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -233,14 +233,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def link_cells(cells: DataFrame, sets: DataFrame, least: float, spark: SparkSession) -> DataFrame:
     """(u, v): links between the two sides of each cell, as few as join what the cell joins.
 
-    ``cells``: cell, side (0 or 1), id. All pairs across are verified by exact probability Jaccard, after a bound (the
-    common shingles' share of either text) that the common shingles of the whole cell give at once.
+    ``cells``: cell, side (0 or 1), id, part. All pairs across of different parts (classes so far) are verified by exact
+    probability Jaccard, after a bound (the common shingles' share of either text) that the common shingles of
+    the whole cell give at once. Pairs whose classes the cell has joined meanwhile need no look.
     """
 
-    def solve(side: list[int], ids: list[int], blobs: list[bytes]):
+    def solve(side: list[int], ids: list[int], parts: list[int], blobs: list[bytes]):
         left = {i: unpack_set(b) for s, i, b in zip(side, ids, blobs, strict=True) if s == 0}
         right = {i: unpack_set(b) for s, i, b in zip(side, ids, blobs, strict=True) if s == 1}
-        root = {i: i for i in (*left, *right)}
+        part, root = dict(zip(ids, parts, strict=True)), {p: p for p in parts}
 
         def find(i):
             while root[i] != i:
@@ -253,15 +254,15 @@ def link_cells(cells: DataFrame, sets: DataFrame, least: float, spark: SparkSess
             common = np.intersect1d(np.unique(np.concatenate([left[i][0] for i in ls])), np.unique(np.concatenate([right[i][0] for i in rs])))
             share = np.zeros((2, len(ls), len(rs)), np.float32)
             for s in range(0, len(common), 4096):
-                part = common[s : s + 4096]
+                some = common[s : s + 4096]
                 dense = []
                 for names, group in ((ls, left), (rs, right)):
-                    table = np.zeros((len(names), len(part)), np.float32)
+                    table = np.zeros((len(names), len(some)), np.float32)
                     for k, i in enumerate(names):
                         x, w = group[i]
-                        a, b = np.searchsorted(x, part[0]), np.searchsorted(x, part[-1], "right")
-                        at = np.searchsorted(part, x[a:b])
-                        ok = part[np.minimum(at, len(part) - 1)] == x[a:b]
+                        a, b = np.searchsorted(x, some[0]), np.searchsorted(x, some[-1], "right")
+                        at = np.searchsorted(some, x[a:b])
+                        ok = some[np.minimum(at, len(some) - 1)] == x[a:b]
                         table[k, at[ok]] = w[a:b][ok] / w.sum()
                     dense.append(table)
                 share[0] += dense[0] @ (dense[1] > 0).T
@@ -270,42 +271,43 @@ def link_cells(cells: DataFrame, sets: DataFrame, least: float, spark: SparkSess
         else:
             pairs = [(i, j) for i in left for j in right]
         for i, j in pairs:
-            a, b = find(i), find(j)
+            a, b = find(part[i]), find(part[j])
             if a != b and probability_jaccard(left[i], right[j]) >= least:
                 root[max(a, b)] = min(a, b)
                 yield i, j
 
     def run(batches):
-        cell, held = None, ([], [], [])
+        cell, held = None, ([], [], [], [])
 
         def done():
             return list(solve(*held)) if held[0] else []
 
         for batch in batches:
             out = []
-            for c, s, i, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for c, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if c != cell:
                     out += done()
-                    cell, held = c, ([], [], [])
-                for column, value in zip(held, (s, i, b), strict=True):
+                    cell, held = c, ([], [], [], [])
+                for column, value in zip(held, row, strict=True):
                     column.append(value)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
         if out := done():
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
-    rows = cells.join(sets, "id").select("cell", "side", "id", "set")
+    rows = cells.join(sets, "id").select("cell", "side", "id", "part", "set")
     return rows.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", words: int = WORDS, registers: int = REGISTERS, band: int = BAND, chunk: int = 128, stars: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", words: int = WORDS, registers: int = REGISTERS, band: int = BAND, chunk: int = 512, stars: int = 2) -> DataFrame:
     """key, class_id, kept for every row: the smallest key of its class of near duplicates, and whether the row has it.
 
     Texts whose word shingles (runs between ASCII white space, weighted by their count) have a probability
     Jaccard of at least ``least`` are linked; classes are what links reach. Equal texts are one candidate. Band buckets
-    give candidates: first each member meets its bucket's leader, a few times with other leaders; then the members of
-    different classes that still share a bucket meet in blocks of ``chunk`` by ``chunk``, so every pair that shares a
-    bucket is either joined or compared. A pair at the threshold misses every bucket with a chance of 3 in a million.
+    give candidates: first each member meets its bucket's leader, then another one; then in each bucket that still holds
+    several classes all members outside its largest class meet all others, in blocks of ``chunk`` by ``chunk``, so every
+    pair that shares a bucket is either joined or compared, and no pair is ever a row. A pair at the threshold misses all
+    36 buckets with a chance of 2 in 10,000, one of similarity 0.85 with 1 in 200,000.
     Null texts are empty ones; texts without words equal each other only by the same bytes; rows of one key are one node;
     a null key has a null class and isn't kept apart; an empty table gives no rows.
     """
@@ -327,32 +329,34 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     parts = scratch.save(none, "parts0")
     for turn in range(stars + 1):
         placed = shared.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-        order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("o"), "id", "part")
-        leaders = placed.groupBy("key").agg(F.min(order).alias("l"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
         if turn < stars:
-            pairs = placed.join(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("other")), "key").where("part <> other").select("leader", "id").distinct()
+            order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("o"), "id", "part")
+            leaders = placed.groupBy("key").agg(F.min(order).alias("l"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+            pairs = placed.join(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("other")), "key").where("part <> other").select("leader", "other", "id", "part").distinct()
             pairs = scratch.save(pairs, f"pairs{turn}")
             if not pairs.limit(1).count():
                 break
             # A leader of many is repeated for each block of its members.
-            block = F.concat_ws(":", "leader", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("long")))
+            block = F.concat_ws(":", "leader", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / chunk).cast("long")))
             sized = pairs.join(pairs.groupBy("leader").agg(F.count("*").alias("n")), "leader").withColumn("cell", block)
-            cells = sized.select("cell", F.lit(1).alias("side"), "id").unionByName(sized.select("cell", F.lit(0).alias("side"), F.col("leader").alias("id")).distinct())
+            cells = sized.select("cell", F.lit(1).alias("side"), "id", "part").unionByName(sized.select("cell", F.lit(0).alias("side"), F.col("leader").alias("id"), F.col("other").alias("part")).distinct())
         else:
-            # Members of different classes in one bucket: each pair of classes once, however many buckets they share.
-            over = placed.join(leaders.select("key"), "key").select("key", "id", "part")
-            kinds = over.select("key", "part").distinct()
-            both = kinds.join(kinds.select("key", F.col("part").alias("part2")), "key").where("part < part2").distinct()
-            low = over.join(both, ["key", "part"]).select("part", "part2", F.lit(0).alias("side"), "id")
-            high = over.select("key", "id", F.col("part").alias("part2")).join(both, ["key", "part2"]).select("part", "part2", F.lit(1).alias("side"), "id")
-            members = scratch.save(low.unionByName(high).distinct(), "members")
+            kinds = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
+            mixed = kinds.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.sum("h").alias("h"), F.count("*").alias("n_parts")).where("n_parts > 1")
+            # Buckets of the same members are one.
+            mixed = mixed.groupBy("h", "n_all").agg(F.min("key").alias("key"), F.min_by("main", "key").alias("main"), F.min_by("n_main", "key").alias("n_main"))
+            blocks = lambda n: F.ceil(n / chunk).cast("int")
+            mixed = mixed.select("key", "main", blocks(F.col("n_all") - F.col("n_main")).alias("n0"), blocks(F.col("n_all")).alias("n1"))
+            members = scratch.save(placed.join(mixed, "key"), "members")
             if not members.limit(1).count():
                 break
-            sizes = members.groupBy("part", "part2").agg(*[F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / chunk).cast("int").alias(f"n{s}") for s in (0, 1)])
-            grid = members.join(sizes, ["part", "part2"]).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))))
-            grid = grid.withColumn("across", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)))
-            cells = grid.select(F.concat_ws(":", "part", "part2", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("across").cast("long")), F.when(F.col("side") == 0, F.col("across").cast("long")).otherwise(F.col("own"))).alias("cell"), "side", "id")
+            own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            few = members.where("part <> main").select("key", "id", "part", F.lit(0).alias("side"), own("n0").alias("row"), every("n1").alias("column"))
+            all_ = members.select("key", "id", "part", F.lit(1).alias("side"), own("n1").alias("column"), every("n0").alias("row"))
+            cells = few.unionByName(all_).select(F.concat_ws(":", "key", "row", "column").alias("cell"), "side", "id", "part")
         found = scratch.save(link_cells(cells, sets, least, spark), f"links{turn}")
+        scratch.drop(f"pairs{turn}", "members")
         edges = edges.unionByName(found)
         parts = scratch.save(connected_components(edges, scratch), f"parts{turn + 1}")
     classes = groups.select("digest", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
