@@ -32,8 +32,8 @@ from .near_documents import _POWERS, mix
 #: A perfect difference set modulo 133 (every non-zero difference occurs once).
 PERIOD = 133
 COVER = [0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109]
-#: Bytes of a fingerprint besides its bucket's number, by step: a chance tie in the first only costs work.
-REST = {"cover": 6, "long": 7, "suffix": 7}
+#: Bits of a fingerprint besides its bucket's number, by step, at most: a chance tie in the first only costs work.
+REST = {"cover": 48, "long": 56, "suffix": 56}
 #: Entries of a bucket, bytes of a block, both about, and bytes of text worked on at once.
 BUCKET, BLOCK, STEP = 1 << 20, 1 << 23, 1 << 22
 
@@ -78,6 +78,10 @@ def parcels(texts: list[bytes]):
         yield held
 
 
+def rest_bits(step: str, bits: int) -> int:
+    return min(REST[step], 64 - bits)
+
+
 def portions(texts: list[bytes]):
     return map(Portion, parcels(texts))
 
@@ -94,7 +98,7 @@ class Ranked:
     """Fingerprints of one step and block: sorted and distinct for the buckets, and the way back."""
 
     def __init__(self, prints: list[np.ndarray], bits: int, rest: int):
-        keys = (np.concatenate(prints) if prints else np.zeros(0, np.uint64)) >> np.uint64(64 - bits - 8 * rest)
+        keys = (np.concatenate(prints) if prints else np.zeros(0, np.uint64)) >> np.uint64(64 - bits - rest)
         self.rest, self.cuts = rest, np.cumsum([len(p) for p in prints])[:-1] if prints else []
         self.order = np.argsort(keys, kind="stable")
         keys = keys[self.order]
@@ -106,9 +110,10 @@ class Ranked:
 
     def rows(self, step: str, block: int):
         """(step, bucket, block, entries, twice) of each bucket that has any."""
-        bucket = (self.keys >> np.uint64(8 * self.rest)).astype(np.int64)
+        bucket = (self.keys >> np.uint64(self.rest)).astype(np.int64)
         edge = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, np.int64)
-        raw = self.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.rest]
+        low = self.keys & np.uint64((1 << self.rest) - 1)
+        raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-self.rest // 8)]
         cuts = list(zip(edge[:-1], edge[1:], strict=True))
         return pa.table([
             pa.array([step] * len(cuts), pa.string()),
@@ -120,7 +125,7 @@ class Ranked:
 
     def answers(self, told: list[tuple[int, bytes, bytes]]):
         """Per portion, which fingerprints are shared, and which stand for their rank; from the buckets' bitmaps."""
-        bucket = (self.keys >> np.uint64(8 * self.rest)).astype(np.int64)
+        bucket = (self.keys >> np.uint64(self.rest)).astype(np.int64)
         shared, leads = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
         for b, s, lead in told:
             at = slice(np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right"))
@@ -143,7 +148,7 @@ def work(texts: list[bytes], told: dict[str, list], bits: int, least: int):
     if least < PERIOD:
         raise ValueError(f"strings of {PERIOD} bytes at least")
     window, long = least - PERIOD + 1, least + PERIOD - 1
-    cover = Ranked([p.fingerprints(p.cover(window), window) for p in portions(texts)], bits, REST["cover"])
+    cover = Ranked([p.fingerprints(p.cover(window), window) for p in portions(texts)], bits, rest_bits("cover", bits))
     if "cover" not in told:
         return "cover", cover
     shared, _ = cover.answers(told["cover"])
@@ -152,7 +157,7 @@ def work(texts: list[bytes], told: dict[str, list], bits: int, least: int):
     def longer(p: Portion, at: np.ndarray) -> np.ndarray:
         return at[at + long <= p.ends[np.searchsorted(p.ends, at, "right")]]
 
-    ranks = Ranked([p.fingerprints(longer(p, at), long) for p, at in tied()], bits, REST["long"])
+    ranks = Ranked([p.fingerprints(longer(p, at), long) for p, at in tied()], bits, rest_bits("long", bits))
     if "long" not in told:
         return "long", ranks
     decided, leads = ranks.answers(told["long"])
@@ -164,7 +169,7 @@ def work(texts: list[bytes], told: dict[str, list], bits: int, least: int):
         at = p.fitting(open_, least)
         prints.append(p.fingerprints(at, least))
         marks.append((known, at))
-    suffixes = Ranked(prints, bits, REST["suffix"])
+    suffixes = Ranked(prints, bits, rest_bits("suffix", bits))
     if "suffix" not in told:
         return "suffix", suffixes
     shared, _ = suffixes.answers(told["suffix"])
@@ -175,11 +180,11 @@ def work(texts: list[bytes], told: dict[str, list], bits: int, least: int):
     return "starts", starts
 
 
-def sort_buckets(entries: DataFrame, spark: SparkSession) -> DataFrame:
+def sort_buckets(entries: DataFrame, spark: SparkSession, bits: int) -> DataFrame:
     """Sorts one bucket at a time: which entries of each block share their rank with another, and which come first in it."""
 
     def rank(step: str, bucket: int, held: list):
-        rest = REST[step]
+        rest = -(-rest_bits(step, bits) // 8)
         sizes = [len(e) // rest for _, e, _ in held]
         keys = np.zeros((sum(sizes), 8), np.uint8)
         keys[:, :rest] = np.frombuffer(b"".join(e for _, e, _ in held), np.uint8).reshape(-1, rest)
@@ -268,7 +273,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, text: str = "text", keep_t
     for turn, step in enumerate(steps):
         narrow = blocks.select("_block", "_row", text)
         entries = narrow.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(emitter(steps[:turn], step), ENTRY)
-        new = scratch.save(sort_buckets(entries, spark), step)
+        new = scratch.save(sort_buckets(entries, spark, bits), step)
         told = new if turn == 0 else told.unionByName(new)
 
     columns = [c for c in docs.columns if c != text or keep_text]
