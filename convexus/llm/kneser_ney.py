@@ -133,9 +133,10 @@ def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
         level = levels[order]
         of = lambda k: F.sum(F.when(F.col("c") == k, 1).otherwise(0))
         few = level.groupBy("lang").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         # Counts of counts that small data lack give the usual fallbacks; a discount stays within its count.
-        fit = lambda k, least: F.coalesce(F.greatest(F.least(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0)), F.lit(float(k))), F.lit(0.0)), F.lit(least))
+        raw = lambda k: k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
+        fit = lambda k, least: F.when(raw(k).isNull(), F.lit(least)).otherwise(F.greatest(F.least(raw(k), F.lit(float(k))), F.lit(0.0)))
         few = few.select("lang", *[fit(k, d).alias(f"d{k}") for k, d in ((1, 0.5), (2, 1.0), (3, 1.5))])
         discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.join(F.broadcast(few), "lang").withColumn("d", discount)
