@@ -49,30 +49,25 @@ def partitions(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): the smallest node that links reach, for every node that has an edge.
 
-    Alternates large-star and small-star steps. Each step takes minima by partial aggregation and
-    joins them back, so a hub is never gathered in one task; every step is a written table.
-    Self-loops are ignored; no edges give no rows.
+    Alternates large-star and small-star steps until every edge leads from a node with no other edge to a root.
+    Each step takes minima by partial aggregation and joins them back, so a hub is never gathered in one task; every
+    step is a written table. Self-loops are ignored; no edges give no rows.
     """
     edge = scratch.save(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct(), "cc0")
-    before, step = None, 0
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    step = 0
     while True:
-        # Large star: every larger neighbour of a node goes to the least of its neighbourhood.
-        least = edge.groupBy("u").agg(F.min("v").alias("m"))
-        both = least.unionByName(edge.groupBy(F.col("v").alias("u")).agg(F.min("v").alias("m"))).groupBy("u").agg(F.min("m").alias("m"))
-        large = (
-            edge.select(F.col("u").alias("big"), F.col("v").alias("u"))
-            .join(both, "u")
-            .select(F.col("big").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
+        ends = edge.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.lit(1).alias("up")), F.struct(F.col("v").alias("a"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        kinds = ends.groupBy("a").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+        if not kinds.agg(F.max((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0)))).first()[0]:
+            break
+        # Large star: every larger neighbour of a node goes to the least of its neighbourhood (itself included).
+        least = edge.select(F.explode(F.array(pair("u", "v"), pair("v", "v"))).alias("e")).groupBy(F.col("e.a").alias("v")).agg(F.min("e.b").alias("m"))
+        large = edge.join(least, "v").select("u", F.col("m").alias("v"))
         # Small star: a node and its smaller neighbours go to the least of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = large.join(low, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e"))
         new = scratch.save(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u > v").distinct(), f"cc{step + 1}")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"cc{step}")
         edge, step = new, step + 1
-        if before == now:
-            break
-        before = now
-    return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edge.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -299,12 +299,12 @@ def link_cells(cells: DataFrame, sets: DataFrame, least: float, spark: SparkSess
     return rows.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", words: int = WORDS, registers: int = REGISTERS, band: int = BAND, chunk: int = 512, stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", words: int = WORDS, registers: int = REGISTERS, band: int = BAND, chunk: int = 512, stars: int = 1) -> DataFrame:
     """key, class_id, kept for every row: the smallest key of its class of near duplicates, and whether the row has it.
 
     Texts whose word shingles (runs between ASCII white space, weighted by their count) have a probability
     Jaccard of at least ``least`` are linked; classes are what links reach. Equal texts are one candidate. Band buckets
-    give candidates: first each member meets its bucket's leader, then another one; then in each bucket that still holds
+    give candidates: first each member meets its bucket's leader (``stars`` leaders in turn); then in each bucket that still holds
     several classes all members outside its largest class meet all others, in blocks of ``chunk`` by ``chunk``, so every
     pair that shares a bucket is either joined or compared, and no pair is ever a row. A pair at the threshold misses all
     36 buckets with a chance of 2 in 10,000, one of similarity 0.85 with 1 in 200,000.
@@ -362,7 +362,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     classes = groups.select("digest", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     out = rows.select(F.col("id").alias(key), "digest").join(classes, "digest", "left")
     out = out.select(key, F.when(F.col(key).isNotNull(), F.col("class_id")).alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
+    out = scratch.save(out.withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True))), "out")
+    scratch.drop("rows", "groups", "shared", "sets", "edges", *[f"links{k}" for k in range(stars + 1)], *[f"parts{k}" for k in range(stars + 2)])
+    return out
 
 
 def op8_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,7 +215,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
     classes = classes.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.select(F.col("id").alias(key), "same").join(classes, "same", "left")
     out = out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", key).alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    out = scratch.save(out.withColumn("kept", F.col(key) == F.col("component_id")), "out")
+    scratch.drop("rows", "distinct", "found")
+    return out
 
 
 def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
