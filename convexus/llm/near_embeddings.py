@@ -147,12 +147,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
         for batch in batches:
             lengths = batch["x"].map(len).to_numpy()
             for dims in np.unique(lengths):
-                own = batch[lengths == dims]
-                unit = unit_rows(own["x"].to_list())
-                codes = hasher(int(dims)).codes(unit)
-                n, t, p = codes.shape
-                at = np.repeat(np.arange(n), t * p)
-                yield pd.DataFrame({"group": own["group"].to_numpy()[at], "dims": int(dims), "t": np.tile(np.repeat(np.arange(t), p), n), "bucket": codes.ravel(), "probe": np.tile(np.arange(p) > 0, n * t).astype("int32"), "id": own["id"].to_numpy()[at], "copies": own["copies"].to_numpy()[at], "x": [unit[i].tobytes() for i in at]})
+                same = batch[lengths == dims]
+                for start in range(0, len(same), 1024):  # each row makes tables * (probes + 1) entries
+                    own = same.iloc[start : start + 1024]
+                    unit = unit_rows(own["x"].to_list())
+                    codes = hasher(int(dims)).codes(unit)
+                    n, t, p = codes.shape
+                    at = np.repeat(np.arange(n), t * p)
+                    blobs = [u.tobytes() for u in unit]
+                    yield pd.DataFrame({"group": own["group"].to_numpy()[at], "dims": int(dims), "t": np.tile(np.repeat(np.arange(t), p), n), "bucket": codes.ravel(), "probe": np.tile(np.arange(p) > 0, n * t).astype("int32"), "id": own["id"].to_numpy()[at], "copies": own["copies"].to_numpy()[at], "x": [blobs[i] for i in at]})
 
     where = ["group", "dims", "t", "bucket"]
     entries = scratch.save(distinct.mapInPandas(buckets, "group string, dims int, t int, bucket long, probe int, id long, copies long, x binary"), "entries")
