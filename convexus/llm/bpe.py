@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A worker's memory of words: so many at most, none of them longer than LONGEST; then it starts anew.
-REMEMBERED, LONGEST = 600_000, 96
+REMEMBERED, LONGEST = 400_000, 96
 #: Marks a word's end within the automaton; no byte maps to it.
 END = "￿"
 
@@ -22,6 +25,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(kind: str, forget: Callable[[], None]) -> None:
+    """A worker serves one operator at a time: what the others remember there is let go, so that their memory doesn't add up."""
+    others = [k for k in _HELD if k != kind]
+    for k in others:
+        _HELD.pop(k)()
+    _HELD[kind] = forget
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim:
+            trim(0)
+
+
 class PrefixBpe:
     """A byte-level BPE vocabulary with word ends, from a tokenizer file.
 
@@ -122,6 +141,9 @@ class PrefixBpe:
         """The words of a text without special tokens, normalized. Letters are lowered one by one: a final sigma is no exception."""
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def letters_of(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode())
+
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a piece of text without white space, special tokens included."""
         ids: list[int] = []
@@ -130,7 +152,7 @@ class PrefixBpe:
                 ids.append(self.special[part])
                 continue
             for word in self.split_words(part):
-                ids += self.encode_word(word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode()))
+                ids += self.encode_word(self.letters_of(word))
         return ids
 
 
@@ -169,6 +191,7 @@ _CODERS: dict[str, tuple[PrefixBpe, Remembered]] = {}
 def coder(path: str) -> tuple[PrefixBpe, Remembered]:
     """This worker's vocabulary, and its memory of chunks as pairs (ids, tokens) of joined text."""
     if path not in _CODERS:
+        claim("bpe", _CODERS.clear)
         bpe = PrefixBpe(path)
 
         def made(chunk: str) -> tuple[str, str]:

@@ -12,6 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import claim
 from .common import Scratch
 
 #: Order of the model and bits of a character within a gram's key.
@@ -206,6 +207,7 @@ class QualityModel:
         @F.pandas_udf("double")
         def scored(texts: pd.Series, langs: pd.Series) -> pd.Series:
             if mark not in _TABLES:
+                claim("quality", _TABLES.clear)
                 _TABLES.clear()
                 _TABLES[mark] = {lang: GramTable(*kept) for lang, kept in shared.value.items()}
             tables = _TABLES[mark]
@@ -265,8 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, key: str = "
     n_passes = max(1, -(-scores.count() // GRAMS_A_PASS))
     passes = []
     for i in range(n_passes):
-        table = scores.where(F.pmod(F.xxhash64("gram"), F.lit(n_passes)) == i).toArrow().to_pandas()  # about GRAMS_A_PASS rows
-        passes.append(spark.sparkContext.broadcast({k: (t["gram"].to_numpy(np.int64), t["logp"].to_numpy(np.float32)) for k, t in table.groupby("lang")}))
+        table = scores.where(F.pmod(F.xxhash64("gram"), F.lit(n_passes)) == i).toArrow().to_pandas(strings_to_categorical=True)  # about GRAMS_A_PASS rows
+        passes.append(spark.sparkContext.broadcast({k: (t["gram"].to_numpy(np.int64), t["logp"].to_numpy(np.float32)) for k, t in table.groupby("lang", observed=True)}))
     model = QualityModel(passes, languages, {})
     if languages:
         held = known.where(F.col("kept_out")).select("text", F.col("lang").alias("model_lang"))

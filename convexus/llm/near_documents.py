@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import claim
 from .common import Scratch, connected_components, partitions
 
 WORDS, REGISTERS, BAND = 5, 252, 7
@@ -45,12 +46,16 @@ class _Powers:
 
     def upto(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            claim("powers", self.forget)
+            n += n // 8
             for name, x in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(n, x, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
+    def forget(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
 
 _POWERS = _Powers()
 

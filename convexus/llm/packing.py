@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, chunks_of, coder
+from .bpe import Remembered, chunks_of, claim, coder
 from .common import Scratch
 
 _KNOWN: dict[str, Remembered] = {}
@@ -28,10 +28,12 @@ def token_bytes(path: str) -> Remembered:
         tokenizer.no_padding()
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        split = coder(path)[0].split_words
-        word = Remembered(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
-        get = word.__getitem__
-        _KNOWN[path] = Remembered(lambda chunk: word.made(chunk) if "<" in chunk else b"".join(map(get, split(chunk))))
+        own, model = coder(path)[0], tokenizer.model
+        split, letters = own.split_words, own.letters_of
+        claim("packing", _KNOWN.clear)
+        get = Remembered(lambda word: np.array([t.id for t in model.tokenize(letters(word))], "<u2").tobytes()).__getitem__
+        whole = lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        _KNOWN[path] = Remembered(lambda chunk: whole(chunk) if "<" in chunk else b"".join(map(get, split(chunk))))
     return _KNOWN[path]
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, chunks_of
+from .bpe import Remembered, chunks_of, claim
 from .common import Scratch
 
 #: Hash space of the features; the classifier keeps at most FEATURES of them.
@@ -77,6 +77,7 @@ class ToxicityModel:
         """Places of the model's features that a text has."""
         mark = hash((self.hashes.tobytes(), self.weights.tobytes()))
         if mark not in _MEMORY:
+            claim("toxicity", _MEMORY.clear)
             place = {int(h): i for i, h in enumerate(self.hashes)}
             _MEMORY.clear()
             _MEMORY[mark] = Remembered(lambda chunk: tuple(place[h] for h in feature_hashes(chunk) if h in place))
