@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..registry import query
+from ..operators.blocks import block_join
+from ..registry import SQL, query
 from ..sources.tables import table
 
 WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
@@ -152,15 +153,37 @@ v AS (SELECT item_id, w, tf * idf AS v, df FROM tf JOIN df USING (w)), n AS (SEL
 s AS (SELECT l.item_id AS a, r.item_id AS b, sum(l.v * r.v) AS s FROM v l JOIN v r USING (w) WHERE l.item_id < r.item_id AND l.df <= 10 GROUP BY ALL)
 SELECT a, b, round(s / (x.n * y.n), 6) AS similarity FROM s JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b""")
 def tfidf_similarity(spark, sf_dir):
-    """Cosine over the items' rare terms (in ten items at most, so a term never makes more than 45 pairs), weighted by TF-IDF over all terms."""
+    """Cosine over the items' rare terms (in ten items at most, so a term never makes more than 45 pairs), weighted by TF-IDF over all terms.
+
+    Pairs that share only commoner terms are not there: tfidf_similarity_whole has all.
+    """
+    v = term_weights(spark, sf_dir)
+    rare = v.where("df <= 10")
+    return cosines(v, term_side(rare, "a", "va").join(term_side(rare, "b", "vb"), "w"))
+
+
+@query("tfidf_similarity_whole", SQL["tfidf_similarity"].replace(" AND l.df <= 10", ""))
+def tfidf_similarity_whole(spark, sf_dir):
+    """Cosine of every two items that share a term, over all terms; a term of many items is dealt into cells of bounded size."""
+    v = term_weights(spark, sf_dir)
+    return cosines(v, block_join(term_side(v, "a", "va", "df"), term_side(v, "b", "vb", "df"), ["w"], "a", "b", n="df"))
+
+
+def term_weights(spark, sf_dir):
+    """item_id, w, v, df: TF-IDF of each item's terms and how many items a term is in."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.words(F.col("text"))).alias("w"))
     tf = b.groupBy("item_id", F.lower("w").alias("w")).agg(F.count("*").alias("tf"))
     n_items = b.agg(F.countDistinct("item_id").alias("n_items"))
     df = tf.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_items)).select("w", "df", (F.log((1 + F.col("n_items")) / (1 + F.col("df"))) + 1).alias("idf"))
-    v = tf.join(df, "w").select("item_id", "w", (F.col("tf") * F.col("idf")).alias("v"), "df")
+    return tf.join(df, "w").select("item_id", "w", (F.col("tf") * F.col("idf")).alias("v"), "df")
+
+
+def term_side(v, item, value, *more):
+    return v.select(F.col("item_id").alias(item), "w", F.col("v").alias(value), *more)
+
+
+def cosines(v, pairs):
     norm = v.groupBy("item_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    rare = v.where("df <= 10")
-    l, r = rare.select(F.col("item_id").alias("a"), "w", F.col("v").alias("va")), rare.select(F.col("item_id").alias("b"), "w", F.col("v").alias("vb"))
-    s = l.join(r, "w").where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
+    s = pairs.where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
     s = s.join(norm.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(norm.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
     return s.select("a", "b", F.round(F.col("s") / (F.col("na") * F.col("nb")), 6).alias("similarity"))
