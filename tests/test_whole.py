@@ -30,3 +30,19 @@ def test_tfidf_counts_common_terms(spark, tmp_path):
     assert len(got) == 600 * 599 // 2
     for (a, b), s in got.items():
         assert s == pytest.approx(sum(x * v[b].get(w, 0) for w, x in v[a].items()) / norm[a] / norm[b], abs=1.1e-6)
+
+
+def test_residual_curves_of_every_split_and_pair(spark, sf_dir):
+    rows = catalog.QUERIES["residual_mass_curve_whole"](spark, sf_dir).collect()
+    sets = {(r["split_seed"], r["t"], r["a"], r["b"]) for r in rows}
+    assert len(sets) == 3 * 30
+    last = {}
+    for r in rows:
+        key = (r["split_seed"], r["t"], r["a"], r["b"])
+        last[key] = max(last.get(key, (0, 0, 0)), (r["place"], r["share"], r["fraction"]))
+    assert all(share == fraction == 1 for _, share, fraction in last.values())
+
+
+def test_topk_overlap_of_every_split(spark, sf_dir):
+    rows = catalog.QUERIES["topk_overlap_whole"](spark, sf_dir).collect()
+    assert {(r["split_seed"], r["t1"], r["t2"], r["k"]) for r in rows} == {(s, a, b, k) for s in (20260828, 20260829, 20260830) for a in range(5) for b in range(a + 1, 5) for k in range(1, 41)}
