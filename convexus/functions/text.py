@@ -25,9 +25,13 @@ def has_negation(text):
     return F.lower(text).rlike(r"n't|(^|[^a-z0-9_])(" + "|".join(NEGATIONS) + r")([^a-z0-9_]|$)")
 
 
+def fold(text):
+    """Lower case, runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f\x0B]+", " "))
+
+
 def contains_folded(text, needle):
     """Whether a text holds a needle, letter case and runs of white space aside; an empty needle is in no text."""
-    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\x0B]+", " "))
     return (F.length(fold(needle)) > 0) & F.contains(fold(text), fold(needle))
 
 

@@ -20,6 +20,7 @@ from . import oracle
 from .coverage_queries import PAIR, R9, SINGLE, peer_errors
 from .fit_queries import subset_fits
 from .resample_queries import DRAW
+from .text_queries import eligible_sources
 from .vector_queries import LOGITS, SOFT, logits
 
 
@@ -157,6 +158,13 @@ def eligible_distractors(spark, sf_dir):
     return want.join(other, "source").where((F.col("category") != F.col("c2")) & ~text.contains_folded(F.col("text"), F.col("needle"))).select("item_id", "source")
 
 
+@query("eligible_distractors_whole", r"""WITH b AS (SELECT item_id, item_id % 4 AS category, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM benchmark)
+SELECT x.item_id, y.item_id AS source FROM b x JOIN b y ON x.category <> y.category AND NOT coalesce(length(x.f) > 0 AND contains(y.f, x.f), false)""")
+def eligible_distractors_whole(spark, sf_dir):
+    """Every source of another category that doesn't hold the item's text."""
+    return eligible_sources(spark, sf_dir).select("item_id", "source")
+
+
 @query("nan_to_null", "SELECT event_type, count(*) FILTER (event_id % 10 <> 0) AS n, round(avg(value) FILTER (event_id % 10 <> 0), 6) AS mean FROM events GROUP BY event_type")
 def nan_to_null(spark, sf_dir):
     """NaN becomes null at the door, so averages skip it."""

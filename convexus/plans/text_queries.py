@@ -76,6 +76,16 @@ def word_masking(spark, sf_dir):
     return c.select("conv_id", "turn", F.array_join(masked, " ").alias("masked"))
 
 
+def eligible_sources(spark, sf_dir):
+    """item_id, source, n_words: every item of another category that doesn't hold the item's text, blocks of items by blocks of sources."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("category"), text.fold(F.col("text")).alias("f"), F.size(text.words(F.col("text"))).alias("n_words"))
+    b = b.crossJoin(F.broadcast(b.agg(F.count("*").alias("n_rows"))))
+    x = b.select("item_id", "category", F.col("f").alias("needle"), "n_rows")
+    y = b.select(F.col("item_id").alias("source"), F.col("category").alias("c2"), F.col("f").alias("hay"), "n_words", "n_rows")
+    held = F.coalesce((F.length("needle") > 0) & F.contains("hay", "needle"), F.lit(False))
+    return block_join(x, y, [], "item_id", "source").where((F.col("category") != F.col("c2")) & ~held).select("item_id", "source", "n_words")
+
+
 INJECT = f"""b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 c AS (SELECT x.item_id, y.item_id AS source, y.w, row_number() OVER (PARTITION BY x.item_id ORDER BY sha256(concat_ws(chr(31), '5', x.item_id::VARCHAR, y.item_id::VARCHAR))[1:16], y.item_id) AS place
   FROM b x JOIN b y ON y.item_id BETWEEN x.item_id + 1 AND x.item_id + 8),

@@ -46,3 +46,12 @@ def test_residual_curves_of_every_split_and_pair(spark, sf_dir):
 def test_topk_overlap_of_every_split(spark, sf_dir):
     rows = catalog.QUERIES["topk_overlap_whole"](spark, sf_dir).collect()
     assert {(r["split_seed"], r["t1"], r["t2"], r["k"]) for r in rows} == {(s, a, b, k) for s in (20260828, 20260829, 20260830) for a in range(5) for b in range(a + 1, 5) for k in range(1, 41)}
+
+
+def test_every_eligible_distractor(spark, tmp_path):
+    """600 items (nine cells): the first's text is in two others, one text is empty."""
+    rows = [(i, {0: "Needle here", 301: "a  NEEDLE\there b", 598: "needle here", 7: " "}.get(i, f"text {i} x")) for i in range(600)]
+    d = save(spark, tmp_path, "benchmark", rows, "item_id long, text string")
+    got = [tuple(r) for r in catalog.QUERIES["eligible_distractors_whole"](spark, d).collect()]
+    want = {(i, j) for i, s in rows for j, t in rows if i % 4 != j % 4 and not (fold(s) and fold(s) in fold(t))}
+    assert len(got) == len(set(got)) and set(got) == want and (0, 301) not in want
