@@ -118,6 +118,45 @@ def source_spans(spark, sf_dir):
     return c.where("span_start < 64").select("item_id", "source", "place", "span_start", F.least("upto", F.lit(64)).cast("long").alias("span_end"))
 
 
+INJECT_WHOLE = f"""b AS (SELECT item_id, item_id % 4 AS category, {WORDS} AS w, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM benchmark),
+c AS (SELECT x.item_id, y.item_id AS source, y.w, row_number() OVER (PARTITION BY x.item_id ORDER BY sha256(concat_ws(chr(31), '5', x.item_id::VARCHAR, y.item_id::VARCHAR))[1:16], y.item_id) AS place
+  FROM b x JOIN b y ON x.category <> y.category AND len(y.w) > 0 AND NOT coalesce(length(x.f) > 0 AND contains(y.f, x.f), false)),
+u AS (SELECT *, sum(len(w)) OVER (PARTITION BY item_id ORDER BY place) AS upto FROM c)"""
+LARGEST = 64
+
+
+def ranked_sources(spark, sf_dir):
+    """item_id, source, place, span_start, upto: of all eligible sources in hash order, those that fill the largest dose."""
+    c = eligible_sources(spark, sf_dir).where("n_words > 0")
+    down = Window.partitionBy("item_id").orderBy(hashing.stable_key("5", F.col("item_id").cast("string"), F.col("source").cast("string")), "source")
+    c = c.withColumn("place", F.row_number().over(down)).withColumn("upto", F.sum("n_words").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    return c.withColumn("span_start", F.col("upto") - F.col("n_words")).where(F.col("span_start") < LARGEST).select("item_id", "source", "place", "span_start", "upto")
+
+
+def filled(n_words, value):
+    """``value``; an item whose sources don't fill the largest dose is an error."""
+    return F.when(F.coalesce(n_words, F.lit(0)) < LARGEST, F.raise_error(F.concat(F.lit("too few context words for item "), F.col("item_id").cast("string")))).otherwise(value)
+
+
+@query("context_injection_whole", "WITH " + INJECT_WHOLE + """, f AS (SELECT item_id, flatten(list(w ORDER BY place)) AS w FROM u GROUP BY item_id)
+SELECT f.item_id, d.dose::INTEGER AS dose, array_to_string(f.w[1:d.dose], ' ') || chr(10) || chr(10) || benchmark.text AS text FROM f JOIN benchmark USING (item_id), (VALUES (16), (64)) d(dose)""")
+def context_injection_whole(spark, sf_dir):
+    """Words of all eligible sources in hash order, cut to nested budgets, before every item."""
+    b = table(spark, sf_dir, "benchmark")
+    c = ranked_sources(spark, sf_dir).join(b.select(F.col("item_id").alias("source"), text.words(F.col("text")).alias("w")), "source")
+    f = c.groupBy("item_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "w"))), lambda s: s["w"])).alias("w"))  # 64 lists at most
+    f = b.join(f, "item_id", "left").withColumn("dose", F.explode(F.array(F.lit(16), F.lit(LARGEST))))
+    return f.select("item_id", "dose", filled(F.size("w"), F.concat(F.array_join(F.slice("w", F.lit(1), F.col("dose")), " "), F.lit("\n\n"), "text")).alias("text"))
+
+
+@query("source_spans_whole", "WITH " + INJECT_WHOLE + """ SELECT item_id, source, place::INTEGER AS place, (upto - len(w))::BIGINT AS span_start, least(upto, 64)::BIGINT AS span_end FROM u WHERE upto - len(w) < 64""")
+def source_spans_whole(spark, sf_dir):
+    """Which words of the context come from which source, of all eligible ones."""
+    c = ranked_sources(spark, sf_dir).withColumn("n", F.max("upto").over(Window.partitionBy("item_id")))
+    c = table(spark, sf_dir, "benchmark").select("item_id").join(c, "item_id", "left")
+    return c.select("item_id", "source", filled(F.col("n"), F.col("place")).alias("place"), F.col("span_start").cast("long").alias("span_start"), F.least("upto", F.lit(LARGEST)).cast("long").alias("span_end"))
+
+
 @query("prompt_manifest", """WITH o AS (SELECT item_id, text, [item_id::VARCHAR, (item_id + 1)::VARCHAR, (item_id * 2)::VARCHAR, '7'] AS o FROM benchmark),
 p AS (SELECT item_id, r::INTEGER AS rotation, text || chr(10) || 'A. ' || o[((0 + r) % 4 + 1)::INTEGER] || chr(10) || 'B. ' || o[((1 + r) % 4 + 1)::INTEGER] || chr(10) || 'C. ' || o[((2 + r) % 4 + 1)::INTEGER] || chr(10) || 'D. ' || o[((3 + r) % 4 + 1)::INTEGER] || chr(10) || 'Answer with one letter.' AS prompt FROM o, range(4) q(r))
 SELECT item_id, rotation, sha256(concat_ws(chr(31), item_id::VARCHAR, rotation::VARCHAR))[1:16] AS prompt_id, sha256(prompt) AS prompt_sha256, ((4 - rotation) % 4)::INTEGER AS gold_visible FROM p""")

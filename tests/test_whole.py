@@ -55,3 +55,24 @@ def test_every_eligible_distractor(spark, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["eligible_distractors_whole"](spark, d).collect()]
     want = {(i, j) for i, s in rows for j, t in rows if i % 4 != j % 4 and not (fold(s) and fold(s) in fold(t))}
     assert len(got) == len(set(got)) and set(got) == want and (0, 301) not in want
+
+
+def test_every_item_gets_its_context(spark, tmp_path):
+    """Sources of one word: 64 of them are needed, and the last item has them too."""
+    import hashlib
+
+    rows = [(i, f"W{i}") for i in range(100)]
+    d = save(spark, tmp_path, "benchmark", rows, "item_id long, text string")
+    key = lambda i, j: (hashlib.sha256(f"5\x1f{i}\x1f{j}".encode()).hexdigest()[:16], j)
+    pool = {i: sorted((j for j, t in rows if j % 4 != i % 4 and s.lower() not in t.lower()), key=lambda j, i=i: key(i, j))[:64] for i, s in rows}
+    got = {(r["item_id"], r["dose"]): r["text"] for r in catalog.QUERIES["context_injection_whole"](spark, d).collect()}
+    assert got == {(i, n): " ".join(f"W{j}" for j in pool[i][:n]) + f"\n\nW{i}" for i, _ in rows for n in (16, 64)}
+    spans = {tuple(r[c] for c in ("item_id", "source", "place", "span_start", "span_end")) for r in catalog.QUERIES["source_spans_whole"](spark, d).collect()}
+    assert spans == {(i, j, k + 1, k, k + 1) for i, p in pool.items() for k, j in enumerate(p)}
+
+
+@pytest.mark.parametrize("name", ["context_injection_whole", "source_spans_whole"])
+def test_too_few_words_are_an_error(spark, tmp_path, name):
+    d = save(spark, tmp_path, "benchmark", [(i, f"W{i}") for i in range(20)], "item_id long, text string")
+    with pytest.raises(Exception, match="too few context words"):
+        catalog.QUERIES[name](spark, d).collect()
