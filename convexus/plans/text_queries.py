@@ -38,6 +38,36 @@ def contains_folded(spark, sf_dir):
     return same.unionByName(own.select("item_id", F.col("item_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn")))
 
 
+@query("contains_folded_whole", r"""WITH d AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM benchmark),
+c AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM conversations)
+SELECT item_id, conv_id, turn FROM d JOIN c ON length(d.f) > 0 AND contains(c.f, d.f)""")
+def contains_folded_whole(spark, sf_dir):
+    """Turns whose folded text holds an item's, anywhere.
+
+    The words of an item but its first and last are whole words of any text that holds it, so an item of three words
+    or more meets only the texts with the rarest of its inner grams: three words, or one in items of three or four.
+    Shorter items meet all texts. Each distinct text is tested once.
+    """
+
+    def threes(w):
+        later = lambda k: F.slice(w, F.lit(k), F.greatest(F.size(w), F.lit(1)))
+        two = lambda a, b: F.concat(a, F.lit(" "), b)
+        return F.filter(F.zip_with(F.zip_with(w, later(2), two), later(3), two), lambda g: g.isNotNull())
+
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.fold(F.col("text")).alias("needle")).where(F.length("needle") > 0).withColumn("w", F.split("needle", " "))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.fold(F.col("text")).alias("f")).where("f IS NOT NULL").withColumn("h", F.sha2("f", 256))
+    texts = turns.select("h", "f").dropDuplicates(["h"])
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    want = items.where(F.size("w") >= 3).select("item_id", "needle", F.explode(F.when(F.size("w") >= 5, threes(inner)).otherwise(inner)).alias("g"))
+    split = F.split("f", " ")
+    there = texts.select("h", F.explode(F.array_distinct(F.concat(split, threes(split)))).alias("g")).join(want.select("g").distinct(), "g", "left_semi")
+    rare = want.join(there.groupBy("g").agg(F.count("*").alias("n")), "g", "left").groupBy("item_id", "needle").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    held = F.contains("f", "needle")
+    long = rare.join(there, "g").select("item_id", "needle", "h").join(texts, "h").where(held).select("item_id", "h")
+    short = items.where(F.size("w") < 3).select("item_id", "needle").join(texts, held).select("item_id", "h")
+    return long.unionByName(short).join(turns.select("h", "conv_id", "turn"), "h").select("item_id", "conv_id", "turn")
+
+
 TOKENS = f"t AS (SELECT item_id, {WORDS} AS w FROM benchmark), k AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM t)"
 
 

@@ -76,3 +76,13 @@ def test_too_few_words_are_an_error(spark, tmp_path, name):
     d = save(spark, tmp_path, "benchmark", [(i, f"W{i}") for i in range(20)], "item_id long, text string")
     with pytest.raises(Exception, match="too few context words"):
         catalog.QUERIES[name](spark, d).collect()
+
+
+def test_items_inside_longer_turns(spark, tmp_path):
+    items = [(0, "The quick  brown fox jumps"), (1, "big red barn"), (2, "one two three four"), (3, "Short"), (4, "two words"), (5, "  "), (6, "is nowhere in any turn"), (7, "a a a a a a")]
+    turns = [(0, 0, "He said: breaTHE QUICK brown\nfox JUMPSuit!"), (0, 1, "the quick brown fox walks"), (1, 0, "big  red\tbarns"), (1, 1, "x one two three fourth"), (2, 0, "shorts and two  words"), (2, 1, None), (3, 0, "a a a a a a a"), (3, 1, "a a a a a"), (4, 0, "big  red\tbarns"), (4, 0, "big  red\tbarns")]
+    save(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    d = save(spark, tmp_path, "conversations", turns, "conv_id long, turn long, text string")
+    got = sorted(tuple(r) for r in catalog.QUERIES["contains_folded_whole"](spark, d).collect())
+    assert got == sorted((i, c, t) for i, s in items for c, t, u in turns if u is not None and fold(s) and fold(s) in fold(u))
+    assert len(got) == 8
