@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Components are held within +-2^24, so that no score of up to 8,192 dimensions leaves the exact range.
-LIMIT = 1 << 24
+#: A component that is not below this in size, scaled, does not fit a long.
+LIMIT = 2.0**63
 
 
 def search_block(queries: np.ndarray, cands: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, width: int = 16):
@@ -21,13 +21,17 @@ def search_block(queries: np.ndarray, cands: np.ndarray, query_ids: np.ndarray,
     """
     dims = cands.shape[1]
     order = np.argsort(-(cands.astype(np.float64) ** 2).sum(0), kind="stable")
-    columns, rows = np.ascontiguousarray(cands.T[order]).astype(np.float64), queries[:, order].astype(np.float64)
-    exact = dims * max(1.0, np.abs(columns).max(initial=0)) * max(1.0, np.abs(rows).max(initial=0)) < 2.0**52
-    if not exact:
-        columns, rows = columns.astype(np.int64), rows.astype(np.int64)
+    columns, rows = np.ascontiguousarray(cands.T[order]), queries[:, order]
+    most = dims * max(1.0, np.abs(columns.astype(np.float64)).max(initial=0)) * max(1.0, np.abs(rows.astype(np.float64)).max(initial=0))
+    exact = most < 2.0**52
+    # Sums that may leave 64 bits are Python's integers, and a score that does is an error below.
+    kind = np.float64 if exact else np.int64 if most < 2.0**62 else object
+    columns, rows = columns.astype(kind), rows.astype(kind)
     starts = list(range(0, dims, width))
     rest_c = [np.sqrt((columns[s:].astype(np.float64) ** 2).sum(0)) for s in starts] + [np.zeros(len(ids))]
     rest_q = [np.sqrt((rows[:, s:].astype(np.float64) ** 2).sum(1)) for s in starts] + [np.zeros(len(rows))]
+    # Bounds are doubles: beyond the exact range they are off by a rounding of the largest sums.
+    loose = [1e-6 if exact else 1e-6 + 1e-9 * x * rest_c[0].max(initial=0) for x in rest_q[0]]
     probe = np.linspace(0, len(ids) - 1, min(len(ids), 64)).astype(np.int64)
     seed = rows @ columns[:, probe]
     first = rows[:, :width] @ columns[:width]  # the one block that all candidates take part in
@@ -40,15 +44,17 @@ def search_block(queries: np.ndarray, cands: np.ndarray, query_ids: np.ndarray,
         part = part[alive]
         for b in range(1, len(starts) + 1):
             slack = rest_q[b][i] * rest_c[b][alive]
-            keep = part + slack * (1 + 1e-9) + 1e-6 >= floor
+            keep = (part.astype(np.float64) + slack * (1 + 1e-9) + loose[i] >= float(floor)).astype(bool)
             alive, part = alive[keep], part[keep]
             if b < len(starts) and len(alive):
                 block = slice(starts[b], starts[b] + width)
                 part = part + rows[i, block] @ columns[block, alive]
                 if len(part) >= k and rest_c[b + 1].size:
-                    low = part - rest_q[b + 1][i] * rest_c[b + 1][alive] * (1 + 1e-9) - 1e-6
-                    floor = max(floor, np.partition(low, -k)[-k])
-        best = np.lexsort((ids[alive], -part))[:k]
+                    low = part.astype(np.float64) - rest_q[b + 1][i] * rest_c[b + 1][alive] * (1 + 1e-9) - loose[i]
+                    floor = max(float(floor), np.partition(low, -k)[-k])
+        best = np.lexsort((ids[alive], -part))[:k] if kind is not object else np.array(sorted(range(len(alive)), key=lambda j, s=part, a=alive: (-s[j], ids[a[j]]))[:k], dtype=np.int64)
+        if kind is object and any(not -(2**63) <= s < 2**63 for s in part[best]):
+            raise OverflowError(f"a score of query {query_ids[i]} does not fit a long")
         out_q.append(np.full(len(best), i))
         out_c.append(alive[best])
         out_s.append(part[best])
@@ -59,8 +65,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     """(query_id, rank, vec_id, score): each query's k highest scores among all rows but its own, ties to the smaller id.
 
     Queries and candidates are dealt into blocks of bounded size and each pair of blocks is searched
-    once; the blocks' k best meet in a final ranking. A component x counts as floor(scale * x), held
-    within +-2^24. Vectors that are null or hold null or non-finite components take no part, nor do null
+    once; the blocks' k best meet in a final ranking. A component x counts as floor(scale * x); one that
+    does not fit a long, and a score among the best that does not, is an error. Vectors that are null or hold null or non-finite components take no part, nor do null
     ids; vectors meet only those of the same length. A query given twice with one vector counts once;
     candidates given twice are two rows; a query with no candidate has no rows.
     """
@@ -68,7 +74,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
 
     def digits(df: DataFrame) -> DataFrame:
         bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-        whole = F.transform(vector, lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(LIMIT)), F.lit(-LIMIT)).cast("int"))
+        scaled = lambda x: x.cast("double") * scale
+        whole = F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < LIMIT, F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long")))
         return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~bad).select(F.col(key).cast("long").alias("id"), whole.alias("x"), F.size(vector).alias("dims"))
 
     cands, asked = digits(vectors), digits(queries).distinct()

@@ -86,3 +86,30 @@ def test_items_inside_longer_turns(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.QUERIES["contains_folded_whole"](spark, d).collect())
     assert got == sorted((i, c, t) for i, s in items for c, t, u in turns if u is not None and fold(s) and fold(s) in fold(u))
     assert len(got) == 8
+
+
+@pytest.mark.parametrize("size", [1e5, 2e6])
+def test_topk_of_large_components(spark, size):
+    """Components whose scaled floors lie beyond 2^24, with near ties; scores are beyond 2^53, or near 2^63."""
+    import random
+
+    from convexus.llm.topk import top_k
+
+    deal = random.Random(5)
+    rows = [(i, [deal.choice([1.0, -1.0, 0.0]) * (size + deal.randrange(3)) for _ in range(24)]) for i in range(80)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(v, v.where("vec_id < 20"), k=5, block=32).collect())
+    x = {i: [math.floor(256 * c) for c in e] for i, e in rows}
+    dot = lambda a, b: sum(p * q for p, q in zip(x[a], x[b], strict=True))
+    want = [(q, r + 1, c, dot(q, c)) for q in range(20) for r, c in enumerate(sorted((c for c in x if c != q), key=lambda c, q=q: (-dot(q, c), c))[:5])]
+    assert got == want
+
+
+@pytest.mark.parametrize("size", [1e10, 1e20])
+def test_topk_overflow_is_an_error(spark, size):
+    """Scores, or components, that do not fit a long."""
+    from convexus.llm.topk import top_k
+
+    v = spark.createDataFrame([(i, [size, size]) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="not fit a long"):
+        top_k(v, v, k=2).collect()
