@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import hashlib
 import json
 import unicodedata
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: A worker's memory of words: so many at most, none of them longer than LONGEST; then it starts anew.
-REMEMBERED, LONGEST = 400_000, 96
+from .common import give_back, small_batches
+
+#: A worker's memory of words: so many bytes at most, about, and no word longer than LONGEST; then it starts anew.
+REMEMBERED_BYTES, LONGEST = 64 << 20, 96
 #: Marks a word's end within the automaton; no byte maps to it.
 END = "￿"
 
@@ -25,20 +24,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
-_HELD: dict[str, Callable[[], None]] = {}
+LETTERS = byte_letters()
+
+
+def split_words(pattern, text: str) -> list[str]:
+    """The words of a text without special tokens, normalized. Letters are lowered one by one: a final sigma is no exception."""
+    return pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
 
+def letters_of(word: str) -> str:
+    """A word's bytes as letters."""
+    return word if word.isascii() and word.isprintable() else "".join([LETTERS[b] for b in word.encode()])
 
-def claim(kind: str, forget: Callable[[], None]) -> None:
-    """A worker serves one operator at a time: what the others remember there is let go, so that their memory doesn't add up."""
-    others = [k for k in _HELD if k != kind]
-    for k in others:
-        _HELD.pop(k)()
-    _HELD[kind] = forget
-    if others:
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
-        if trim:
-            trim(0)
+
+def word_pattern(spec: dict):
+    """The pattern of words in a tokenizer file."""
+    import regex
+
+    return regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V0)
 
 
 class PrefixBpe:
@@ -73,10 +76,8 @@ class PrefixBpe:
             self.rank[a, b] = r
             self.parts.setdefault(whole, (a, b, r))
         self.text_of = {i: t for t, i in self.vocab.items()}
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern, regex.V0)
+        self.words = word_pattern(spec)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters = byte_letters()
         self.automaton = ahocorasick.Automaton()
         for text, i in self.vocab.items():
             self.automaton.add_word(text, (i, len(text)))
@@ -137,13 +138,6 @@ class PrefixBpe:
             ids.append(token)
         return ids[::-1]
 
-    def split_words(self, text: str) -> list[str]:
-        """The words of a text without special tokens, normalized. Letters are lowered one by one: a final sigma is no exception."""
-        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-
-    def letters_of(self, word: str) -> str:
-        return word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode())
-
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a piece of text without white space, special tokens included."""
         ids: list[int] = []
@@ -151,23 +145,25 @@ class PrefixBpe:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            for word in self.split_words(part):
-                ids += self.encode_word(self.letters_of(word))
+            for word in split_words(self.words, part):
+                ids += self.encode_word(letters_of(word))
         return ids
 
 
 class Remembered(dict):
-    """chunk -> made(chunk), of bounded size."""
+    """chunk -> made(chunk), of bounded size. ``cost`` is the bytes of what is made, about, beside those of the entry itself."""
 
-    def __init__(self, made):
+    def __init__(self, made, cost, most: int = REMEMBERED_BYTES):
         super().__init__()
-        self.made = made
+        self.made, self.cost, self.most, self.held = made, cost, most, 0
 
     def __missing__(self, chunk: str):
         found = self.made(chunk)
         if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            self.held += 200 + len(chunk) + self.cost(found)
+            if self.held > self.most:
                 self.clear()
+                self.held = 0
             self[chunk] = found
         return found
 
@@ -191,14 +187,13 @@ _CODERS: dict[str, tuple[PrefixBpe, Remembered]] = {}
 def coder(path: str) -> tuple[PrefixBpe, Remembered]:
     """This worker's vocabulary, and its memory of chunks as pairs (ids, tokens) of joined text."""
     if path not in _CODERS:
-        claim("bpe", _CODERS.clear)
         bpe = PrefixBpe(path)
 
         def made(chunk: str) -> tuple[str, str]:
             ids = bpe.encode_chunk(chunk)
             return " ".join(map(str, ids)), " ".join(map(bpe.tokens.__getitem__, ids))
 
-        _CODERS[path] = bpe, Remembered(made)
+        _CODERS[path] = bpe, Remembered(made, lambda pair: 120 + len(pair[0]) + len(pair[1]))
     return _CODERS[path]
 
 

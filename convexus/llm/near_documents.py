@@ -9,14 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import claim
-from .common import Scratch, connected_components, partitions
+from .common import Scratch, connected_components, partitions, tidy
 
 WORDS, REGISTERS, BAND = 5, 252, 7
 #: Bits of the map that spares documents without any candidate the way through a shuffle: 1 MB, whatever the input.
 MAP_BITS = 1 << 23
-#: Characters of text that are worked on at once.
-STEP = 1 << 21
+#: Bytes of text and shingles that are worked on at once; bytes of sets on one side of a cell, about.
+STEP, ROUND, SIDE = 1 << 20, 1 << 19, 4 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,42 +34,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _geometric(x: int, n: int) -> np.ndarray:
+    """1, x, x^2, ... modulo 2^64."""
+    steps = np.full(n, x, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2^64, and a random word for each byte."""
 
-    def __init__(self):
-        self.base = 0x5851F42D4C957F2D
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.bytes = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
-        self.up = self.down = np.ones(1, np.uint64)
+    def __init__(self, base: int, seed: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.bytes = mix(np.arange(1, 257, dtype=np.uint64) * _step(2 * seed + 1))
+        self.forget()
 
     def upto(self, n: int) -> None:
         if len(self.up) < n:
-            claim("powers", self.forget)
-            n += n // 8
             for name, x in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, x, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+                low = _geometric(x, 4096)
+                high = _geometric(pow(x, 4096, 1 << 64), -(-(n + n // 8) // 4096))
+                setattr(self, name, (high[:, None] * low).ravel())
 
     def forget(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
 
-_POWERS = _Powers()
+_POWERS = _Powers(0x5851F42D4C957F2D, 0)
+
+
+def sums_before(data: np.ndarray, powers: _Powers = _POWERS) -> np.ndarray:
+    """At each place, the sum of the bytes before it as a polynomial: any substring's hash is a difference of two."""
+    powers.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(powers.bytes[data] * powers.up[: len(data)], out=total[1:])
+    return total
 
 
 def word_hashes(texts: list[bytes]):
-    """(hash of each word, text of each word) for the runs between ASCII white space of some texts."""
+    """(hash of each word, text of each word) for the runs between ASCII white space of some texts.
+
+    Bytes are worked on STEP at a time, each time up to the last white space; a longer word is worked on whole.
+    """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
     blank = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
-    start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    end = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
-    _POWERS.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_POWERS.bytes[data] * _POWERS.up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * _POWERS.down[start]), np.searchsorted(np.cumsum(sizes), start, "right")
+    begins = np.cumsum([len(t) + 1 for t in texts])
+    hashes, owners, s = [], [], 0
+    while s < len(data):
+        e = min(s + STEP, len(data))
+        if not blank[e - 1]:
+            back = np.flatnonzero(blank[s:e])
+            e = s + int(back[-1]) + 1 if len(back) else s + int(np.argmax(blank[s:])) + 1
+        part = blank[s:e]
+        start = np.flatnonzero(~part & np.r_[True, part[:-1]])
+        end = np.flatnonzero(part & np.r_[False, ~part[:-1]])
+        total = sums_before(data[s:e])
+        hashes.append(mix((total[end] - total[start]) * _POWERS.down[start]))
+        owners.append(np.searchsorted(begins, start + s, "right"))
+        s = e
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def shingles(texts: list[bytes], words: int = WORDS):
@@ -106,26 +128,27 @@ def prob_min_hash(hashes: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_do
 
     Each element's arrivals form a Poisson process with its weight as rate, seeded by its hash, and each arrival
     falls on a random register. Two texts agree in a register with the probability Jaccard of their weights. Arrivals
-    are drawn for all elements a round at a time; an element stops once its time is past the latest first
+    are drawn for ROUND elements, one each at a time; an element stops once its time is past the latest first
     arrival of its text's registers, since it can't win any more.
     """
     first = np.full(n_docs * registers, np.inf)
     owner = np.zeros(n_docs * registers, np.uint64)
-    time, alive, turn = np.zeros(len(hashes)), np.arange(len(hashes)), 0
     latest = np.full(n_docs, np.inf)
-    while len(alive):
-        turn += 1
-        draw = mix(hashes[alive] + _step(turn))
-        time[alive] -= np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[alive]
-        slot = doc[alive] * registers + (mix(draw + _GOLDEN) % np.uint64(registers)).astype(np.int64)
-        now = time[alive]
-        better = np.flatnonzero(now < first[slot])
-        np.minimum.at(first, slot[better], now[better])
-        won = better[first[slot[better]] == now[better]]
-        owner[slot[won]] = hashes[alive[won]]
-        docs = np.unique(doc[alive[better]]) if len(better) else np.zeros(0, np.int64)
-        latest[docs] = first.reshape(n_docs, registers)[docs].max(1)
-        alive = alive[now < latest[doc[alive]]]
+    for begin in range(0, len(hashes), ROUND):
+        time, alive, turn = np.zeros(min(ROUND, len(hashes) - begin)), np.arange(begin, min(begin + ROUND, len(hashes))), 0
+        while len(alive):
+            turn += 1
+            draw = mix(hashes[alive] + _step(turn))
+            now = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[alive]
+            slot = doc[alive] * registers + (mix(draw + _GOLDEN) % np.uint64(registers)).astype(np.int64)
+            better = np.flatnonzero(now < first[slot])
+            np.minimum.at(first, slot[better], now[better])
+            won = better[first[slot[better]] == now[better]]
+            owner[slot[won]] = hashes[alive[won]]
+            docs = np.unique(doc[alive[better]]) if len(better) else np.zeros(0, np.int64)
+            latest[docs] = first.reshape(n_docs, registers)[docs].max(1)
+            on = now < latest[doc[alive]]
+            alive, time = alive[on], now[on]
     return owner.reshape(n_docs, registers)
 
 
@@ -183,20 +206,22 @@ def _portions(texts: list[bytes]):
 
 
 def sketch(docs: DataFrame, words: int, registers: int, band: int) -> DataFrame:
-    """(id, digest, bands): of each whole text its 128-bit digest and its band keys (empty for a text without words)."""
+    """(id, digest, bands, size): of each whole text its 128-bit digest, its band keys (empty for a text without words) and its number of shingles."""
 
     def run(batches):
         for batch in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             bands: list[bytes] = [b""] * len(texts)
+            sizes = np.zeros(len(texts), np.int64)
             for held in _portions(texts):
                 hashes, counts, doc = shingles([texts[i] for i in held], words)
                 keys = band_keys(prob_min_hash(hashes, counts.astype(np.float64), doc, len(held), registers), band)
+                sizes[held] = np.bincount(doc, minlength=len(held))
                 for k in np.unique(doc):
                     bands[held[k]] = keys[k].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(bands, pa.binary())], names=["id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(bands, pa.binary()), pa.array(sizes)], names=["id", "digest", "bands", "size"])
 
-    return docs.mapInArrow(run, "id long, digest binary, bands binary")
+    return docs.mapInArrow(tidy(run, _POWERS.forget), "id long, digest binary, bands binary, size long")
 
 
 def spread_bands(sketches: DataFrame) -> DataFrame:
@@ -209,7 +234,7 @@ def spread_bands(sketches: DataFrame) -> DataFrame:
             keys = np.frombuffer(b"".join(blobs), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), n))], names=["key", "id"])
 
-    return sketches.select("id", "bands").mapInArrow(run, "key long, id long")
+    return sketches.select("id", "bands").mapInArrow(tidy(run), "key long, id long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -232,7 +257,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 blobs = [pack_set(hashes[a:b], counts[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[on[held]]), pa.array(blobs, pa.binary())], names=["id", "set"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(tidy(run, _POWERS.forget), "id long, set binary")
 
 
 def link_cells(cells: DataFrame, sets: DataFrame, least: float, spark: SparkSession) -> DataFrame:
@@ -301,7 +326,7 @@ def link_cells(cells: DataFrame, sets: DataFrame, least: float, spark: SparkSess
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
     rows = cells.join(sets, "id").select("cell", "side", "id", "part", "set")
-    return rows.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+    return rows.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", words: int = WORDS, registers: int = REGISTERS, band: int = BAND, chunk: int = 512, stars: int = 1) -> DataFrame:
@@ -311,9 +336,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     Jaccard of at least ``least`` are linked; classes are what links reach. Equal texts are one candidate. Band buckets
     give candidates: first each member meets its bucket's leader (``stars`` leaders in turn); then in each bucket that still holds
     several classes all members outside its largest class meet all others, in blocks of ``chunk`` by ``chunk``, so every
-    pair that shares a bucket is either joined or compared, and no pair is ever a row. A pair at the threshold misses all
-    36 buckets with a chance of 2 in 10,000, one of similarity 0.85 with 1 in 200,000.
-    Null texts are empty ones; texts without words equal each other only by the same bytes; rows of one key are one node;
+    pair that shares a bucket is either joined or compared, and no pair is ever a row. Blocks are also bounded by the bytes
+    of their sets (SIDE). A pair at the threshold misses all 36 buckets with a chance of 2 in 10,000, one of similarity
+    0.85 with 1 in 200,000. A task needs about 40 bytes for each word of its longest text, and that many for a cell of two
+    blocks. Null texts are empty ones; texts without words equal each other only by the same bytes; rows of one key are one node;
     a null key has a null class and isn't kept apart; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -321,10 +347,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = scratch.save(sketch(texts, words, registers, band), "rows")
     known = rows.where("id IS NOT NULL")
-    groups = scratch.save(known.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")), "groups")
+    groups = scratch.save(known.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.max("size").alias("size")), "groups")
     entries = spread_bands(groups)
     buckets = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = scratch.save(entries.join(buckets, "key").distinct(), "shared")
+    shared = scratch.save(entries.join(buckets, "key").distinct().join(groups.groupBy("id").agg(F.max("size").alias("size")), "id").select("key", "id", "size"), "shared")
     copies = known.select("id", "digest").join(groups.select("digest", F.col("id").alias("root")), "digest")
     sets = scratch.save(sets_of(texts.where("id IS NOT NULL"), shared, words), "sets")
     # Rows of one key with different texts are one node, so their groups are joined.
@@ -333,25 +359,27 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     none = spark.createDataFrame([], "node long, component long")
     parts = scratch.save(none, "parts0")
     for turn in range(stars + 1):
-        placed = shared.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+        placed = shared.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("part"))
+        # Blocks for so many members and so many shingles (8 bytes each).
+        blocks = lambda n, size: F.greatest(F.ceil(n / chunk), F.ceil(size * 8 / SIDE), F.lit(1)).cast("int")
         if turn < stars:
             order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("o"), "id", "part")
-            leaders = placed.groupBy("key").agg(F.min(order).alias("l"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-            pairs = placed.join(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("other")), "key").where("part <> other").select("leader", "other", "id", "part").distinct()
+            leaders = placed.groupBy("key").agg(F.min(order).alias("l"), F.min("part").alias("low"), F.max("part").alias("high"), blocks(F.count("*"), F.sum("size")).alias("n")).where("low < high")
+            # A leader of many is repeated for each block of its members; of several buckets where the two meet the one of most blocks counts.
+            pairs = placed.join(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.part").alias("other"), "n"), "key").where("part <> other").groupBy("leader", "other", "id", "part").agg(F.max("n").alias("n"))
             pairs = scratch.save(pairs, f"pairs{turn}")
             if not pairs.limit(1).count():
                 break
-            # A leader of many is repeated for each block of its members.
-            block = F.concat_ws(":", "leader", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / chunk).cast("long")))
-            sized = pairs.join(pairs.groupBy("leader").agg(F.count("*").alias("n")), "leader").withColumn("cell", block)
+            sized = pairs.withColumn("cell", F.concat_ws(":", "leader", "n", F.pmod(F.xxhash64("id"), F.col("n"))))
             cells = sized.select("cell", F.lit(1).alias("side"), "id", "part").unionByName(sized.select("cell", F.lit(0).alias("side"), F.col("leader").alias("id"), F.col("other").alias("part")).distinct())
         else:
-            kinds = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
-            mixed = kinds.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.sum("h").alias("h"), F.count("*").alias("n_parts")).where("n_parts > 1")
-            # Buckets of the same members are one.
-            mixed = mixed.groupBy("h", "n_all").agg(F.min("key").alias("key"), F.min_by("main", "key").alias("main"), F.min_by("n_main", "key").alias("n_main"))
-            blocks = lambda n: F.ceil(n / chunk).cast("int")
-            mixed = mixed.select("key", "main", blocks(F.col("n_all") - F.col("n_main")).alias("n0"), blocks(F.col("n_all")).alias("n1"))
+            digest = lambda k: F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}")
+            kinds = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"), digest(0), digest(1))
+            main = F.max(F.struct("n", "part", "size")).alias("main")
+            mixed = kinds.groupBy("key").agg(main, F.sum("n").alias("n_all"), F.sum("size").alias("size_all"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"), F.count("*").alias("n_parts")).where("n_parts > 1")
+            # Buckets of the same members (the same number, and two sums of 64-bit hashes) are one.
+            mixed = mixed.groupBy("h0", "h1", "n_all").agg(F.min(F.struct("key", "main", "size_all")).alias("m")).select("n_all", "m.*")
+            mixed = mixed.select("key", F.col("main.part").alias("main"), blocks(F.col("n_all") - F.col("main.n"), F.col("size_all") - F.col("main.size")).alias("n0"), blocks(F.col("n_all"), F.col("size_all")).alias("n1"))
             members = scratch.save(placed.join(mixed, "key"), "members")
             if not members.limit(1).count():
                 break

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, chunks_of, claim, coder
-from .common import Scratch
+from .bpe import Remembered, chunks_of, letters_of, split_words, word_pattern
+from .common import Scratch, tidy
 
 _KNOWN: dict[str, Remembered] = {}
 
@@ -28,12 +30,11 @@ def token_bytes(path: str) -> Remembered:
         tokenizer.no_padding()
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        own, model = coder(path)[0], tokenizer.model
-        split, letters = own.split_words, own.letters_of
-        claim("packing", _KNOWN.clear)
-        get = Remembered(lambda word: np.array([t.id for t in model.tokenize(letters(word))], "<u2").tobytes()).__getitem__
+        with open(path, encoding="utf-8") as file:
+            words, model = word_pattern(json.load(file)), tokenizer.model
+        get = Remembered(lambda word: np.array([t.id for t in model.tokenize(letters_of(word))], "<u2").tobytes(), len).__getitem__
         whole = lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        _KNOWN[path] = Remembered(lambda chunk: whole(chunk) if "<" in chunk else b"".join(map(get, split(chunk))))
+        _KNOWN[path] = Remembered(lambda chunk: whole(chunk) if "<" in chunk else b"".join(map(get, split_words(words, chunk))), len)
     return _KNOWN[path]
 
 
@@ -51,7 +52,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column(0), pa.array(n), pa.array(ids, pa.binary())], names=["part", "start", key, "n", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"part int, start long, `{key}` {kind}, n long, ids binary")
+    return docs.select(key, text).mapInArrow(tidy(run, _KNOWN.clear), f"part int, start long, `{key}` {kind}, n long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,7 +62,8 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, key: s
     the last sequence is shorter. The first pass writes each document's ids and its place in its partition;
     the partitions' totals (one number each) give every partition's global offset; the second pass cuts. A document
     across a boundary leaves a record on either side. Null and empty texts are the end id alone; repeated
-    rows and null keys are documents like any other; an empty table has no pieces.
+    rows and null keys are documents like any other; other columns are left out, whatever their names; an empty table has
+    no pieces. A vocabulary of more than 65,536 ids is refused.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     tokens = scratch.save(tokenize(docs, path, end_id, key, text), "tokens")
@@ -71,7 +73,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, key: s
         base[part], before = before, before + n
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
             rows: list[list] = [[] for _ in range(6)]
             at = []
             for i, (part, start, n, ids) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True)):
@@ -89,7 +91,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, key: s
             yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.int64()) for c in rows[:5]), pa.array(rows[5], pa.binary())], names=[key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return tokens.mapInArrow(cut, f"`{key}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return tokens.mapInArrow(tidy(cut), f"`{key}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,11 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, chunks_of, claim
-from .common import Scratch
+from .bpe import Remembered, chunks_of
+from .common import Scratch, give_back, tidy
 
 #: Hash space of the features; the classifier keeps at most FEATURES of them.
 SPACE, FEATURES = 1 << 20, 4096
+#: Scores from here on are toxic.
+THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 
 
@@ -62,7 +65,15 @@ def nn_pu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features:
     return weights, bias
 
 
-_MEMORY: dict[int, Remembered] = {}
+def features_known(hashes: np.ndarray) -> Remembered:
+    """Chunk of text -> places of the model's features in it."""
+    place = {int(h): i for i, h in enumerate(hashes)}
+    return Remembered(lambda chunk: tuple(place[h] for h in feature_hashes(chunk) if h in place), lambda found: 40 + 8 * len(found), 32 << 20)
+
+
+def present(known: Remembered, text: str | None) -> list[int]:
+    """Places of the model's features that a text has."""
+    return sorted(set().union(*map(known.__getitem__, set(chunks_of(text or "")))))
 
 
 @dataclass
@@ -73,35 +84,33 @@ class ToxicityModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -20.0
 
-    def present(self, text: str | None) -> list[int]:
-        """Places of the model's features that a text has."""
-        mark = hash((self.hashes.tobytes(), self.weights.tobytes()))
-        if mark not in _MEMORY:
-            claim("toxicity", _MEMORY.clear)
-            place = {int(h): i for i, h in enumerate(self.hashes)}
-            _MEMORY.clear()
-            _MEMORY[mark] = Remembered(lambda chunk: tuple(place[h] for h in feature_hashes(chunk) if h in place))
-        return list(set().union(*map(_MEMORY[mark].__getitem__, set(chunks_of(text or "")))))
-
     def score(self):
         """A column function: text to a score of 0 to 1."""
+        hashes, weights, bias = self.hashes, self.weights, self.bias
 
-        @F.pandas_udf("double")
-        def scored(texts: pd.Series) -> pd.Series:
-            z = np.array([self.weights[self.present(t)].sum() + self.bias for t in texts], np.float64)
-            return pd.Series(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        def scored(batches):
+            known = features_known(hashes)
+            try:
+                for texts in batches:
+                    z = np.array([weights[present(known, t)].sum() + bias for t in texts], np.float64)
+                    yield pd.Series(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+            finally:
+                known.clear()
+                give_back()
 
-        return scored
+        scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(scored, "double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 12_000, least_documents: int = 8) -> ToxicityModel:
     """Learns from confirmed toxic documents and unlabelled text.
 
     Positives are the at most ``most`` labelled toxic documents with the lowest hashes of their keys, unlabelled
-    texts the at most ``2 * most`` documents so chosen, all with keys outside the held-out part. The class prior is
-    the share of label 1 among all labelled rows there. Features are those in at least ``least_documents`` of the
-    sample and shifted by three standard errors, at most FEATURES, with the largest shift between the two. Null labels and keys and repeated labels
-    (the largest counts) are no error; without a positive the model's scores are near 0.
+    texts the at most ``2 * most`` keys so chosen, all outside the held-out part; a key of several rows counts once, with
+    the least of its texts. The class prior is the share of label 1 among all labelled keys there. Features are those in at
+    least ``least_documents`` of the sample and shifted by three standard errors, at most FEATURES, with the largest shift
+    between the two. Null labels and keys and repeated labels (the largest counts) are no error; without a positive the
+    model's scores are near 0. A text is worked on whole: a task needs a few times the bytes of its longest text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -112,15 +121,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     prior = min(0.95, max(0.001, totals["p"] / totals["n"]))
     order = F.xxhash64(key)
     sampled = known.where("y = 1").select(key, F.lit(True).alias("positive")).orderBy(order, key).limit(most)
-    sampled = sampled.unionByName(docs.where(F.col(key).isNotNull() & ~held_out(F.col(key))).select(key, F.lit(False).alias("positive")).orderBy(order, key).limit(2 * most))
-    sample = docs.select(key, text).join(F.broadcast(sampled), key)  # at most 3 * most rows of the bounded sample
-    sample = scratch.save(sample.select("positive", text), "sample")
+    sampled = sampled.unionByName(docs.where(F.col(key).isNotNull() & ~held_out(F.col(key))).select(key, F.lit(False).alias("positive")).distinct().orderBy(order, key).limit(2 * most))
+    # At most 3 * most rows, one for each key and side.
+    sample = docs.select(key, text).join(F.broadcast(sampled), key).groupBy(key, "positive").agg(F.min(text).alias("words"))
+    sample = scratch.save(sample.select("positive", "words"), "sample")
 
     def count(batches):
         table = np.zeros((2, SPACE), np.int64)
-        memory = Remembered(feature_hashes)
+        memory = Remembered(feature_hashes, lambda found: 40 + 40 * len(found))
         for batch in batches:
-            for positive, words in zip(batch["positive"], batch[text], strict=True):
+            for positive, words in zip(batch["positive"], batch["words"], strict=True):
                 found = set().union(*map(memory.__getitem__, set(chunks_of(words or ""))))
                 table[int(positive), list(found)] += 1
         used = np.flatnonzero(table.sum(0))
@@ -130,31 +140,32 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n_pos, n_un = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_un:
         return ToxicityModel()
-    counts = sample.mapInPandas(count, "hash long, p long, u long").groupBy("hash").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.mapInPandas(tidy(count), "hash long, p long, u long").groupBy("hash").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     rate_p, rate_u = (F.col("p") + 0.5) / (n_pos + 1), (F.col("u") + 0.5) / (n_un + 1)
     shift = F.abs(F.sqrt(rate_p) - F.sqrt(rate_u))
     sure = F.abs(rate_p - rate_u) / F.sqrt(rate_u * (1 - rate_u) / n_pos) >= 3
     chosen = counts.where((F.col("p") + F.col("u") >= least_documents) & sure).orderBy(F.desc(shift), "hash").limit(FEATURES).collect()
     if not chosen:
         return ToxicityModel(bias=float(np.log(prior / (1 - prior))))
-    model = ToxicityModel(np.array(sorted(r["hash"] for r in chosen), np.int64), np.zeros(len(chosen)))
+    hashes = np.array(sorted(r["hash"] for r in chosen), np.int64)
 
     def select(batches):
+        known = features_known(hashes)
         for batch in batches:
-            yield pd.DataFrame({"positive": batch["positive"], "features": [np.array(model.present(t), np.int16).tobytes() for t in batch[text]]})
+            yield pd.DataFrame({"positive": batch["positive"], "features": [np.array(present(known, t), np.int16).tobytes() for t in batch["words"]]})
 
-    data = sample.mapInPandas(select, "positive boolean, features binary").toPandas()  # the bounded sample
+    data = sample.mapInPandas(tidy(select), "positive boolean, features binary").toPandas()  # the bounded sample
     cols = [np.frombuffer(x, np.int16).astype(np.int64) for x in data["features"]]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     weights, bias = nn_pu(rows, np.concatenate(cols), data["positive"].to_numpy(bool), len(chosen), prior)
     keep = np.abs(weights) > 1e-6
     scratch.drop("sample")
-    return ToxicityModel(model.hashes[keep], weights[keep], bias)
+    return ToxicityModel(hashes[keep], weights[keep], bias)
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted for every whole text. Null texts score as empty ones; repeated rows and null keys stay."""
-    out = docs.select(key, held_out(F.col(key)).alias("held_out"), model.score()(F.col(text)).alias("score"))
+    out = Scratch(docs.sparkSession, "toxicity").save(docs.select(key, held_out(F.col(key)).alias("held_out"), model.score()(F.col(text)).alias("score")), "scores")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
