@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, partitions
+from .common import Scratch, connected_components, partitions, tidy
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -71,7 +71,7 @@ def pairs_of_runs(cell: np.ndarray):
     return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def linked_pairs(keys: np.ndarray, kind: np.ndarray, half: np.ndarray, ids: np.ndarray, unit: np.ndarray, hasher: CrossPolytope, least: float, most: int = 1 << 20):
+def linked_pairs(keys: np.ndarray, kind: np.ndarray, half: np.ndarray, nodes: np.ndarray, unit: np.ndarray, hasher: CrossPolytope, least: float, most: int = 1 << 20):
     """Pairs of rows of one cell with a cosine of at least ``least``, each given by one bucket of all those where the two meet.
 
     keys[row]: (cell, table, bucket); kind: 0 in the row's own bucket, else a probe; half: 0, or the side (1, 2) in a
@@ -86,7 +86,7 @@ def linked_pairs(keys: np.ndarray, kind: np.ndarray, half: np.ndarray, ids: np.n
         upto = int(ends[max(0, np.searchsorted(np.cumsum(size * (size - 1) / 2), most, "right") - 1)])
         a, b = pairs_of_runs(cell[begin:upto])
         a, b = a + begin, b + begin
-        ok = (kind[a] * kind[b] == 0) & (ids[a] != ids[b]) & ((half[a] == 0) | (half[a] != half[b]))
+        ok = (kind[a] * kind[b] == 0) & (nodes[a] != nodes[b]) & ((half[a] == 0) | (half[a] != half[b]))
         a, b = a[ok], b[ok]
         for s in range(0, len(a), 1 << 17):
             x, y = a[s : s + (1 << 17)], b[s : s + (1 << 17)]
@@ -116,21 +116,26 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
 
     Vectors with equal labels and a cosine of at least ``least`` in double precision are linked; n_links counts
     the other vectors linked directly, component_id is the smallest key that links reach. Equal vectors of a
-    label are one candidate with a count. Candidates meet in their cross-polytope buckets; a bucket of more than
-    ``chunk`` entries is split into chunks, and each pair of chunks is compared in a task of its own. A pair is
+    label are one node with a count, whatever their keys; different vectors of one key are nodes of their own. Nodes meet in
+    their cross-polytope buckets; a bucket of more than ``chunk`` entries is split into chunks, and each pair of chunks is
+    compared in a task of its own. Entries are keys only; a vector joins those whose bucket has others too. A pair is
     counted in the first bucket where it meets and only counts and star edges leave a task.
     Null labels, null, empty and zero vectors and those with null or non-finite components link with nothing;
-    vectors meet only those of their length; repeated rows are vectors of their own; rows of null key are dropped.
+    vectors meet only those of their length; however small or large, components are scaled before they are
+    squared; repeated rows are vectors of their own; rows of null key are dropped.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "near-embeddings")
     raw = lambda c: F.col(c).cast("array<double>")
     bad = F.exists(raw(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.aggregate(raw(vector), F.lit(0.0), lambda s, x: s + x * x)
-    fit = F.coalesce(F.col(label).isNotNull() & F.col(vector).isNotNull() & ~bad & (norm > 0) & (norm < float("inf")), F.lit(False))
-    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), fit.alias("fit"), F.when(fit, F.col(vector)).alias("x"), F.when(fit, F.md5(F.concat_ws("|", F.col(label).cast("string"), F.array_join(F.col(vector).cast("array<string>"), ",")))).alias("same"), F.when(fit, F.col(label).cast("string")).alias("group"))
+    fit = F.coalesce(F.col(label).isNotNull() & F.col(vector).isNotNull() & ~bad & F.exists(raw(vector), lambda x: x != 0), F.lit(False))
+    same = F.sha2(F.concat_ws("|", F.col(label).cast("string"), F.array_join(F.col(vector).cast("array<string>"), ",")), 256)
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), fit.alias("fit"), F.when(fit, F.col(vector)).alias("x"), F.when(fit, same).alias("same"), F.when(fit, F.col(label).cast("string")).alias("group"))
     rows = scratch.save(rows, "rows")
-    distinct = scratch.save(rows.where("fit").groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("x").alias("x"), F.first("group").alias("group")), "distinct")
+    distinct = rows.where("fit").groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("x").alias("x"), F.first("group").alias("group"))
+    # Nodes are numbered as they are written, once.
+    distinct = scratch.save(distinct.select(F.monotonically_increasing_id().alias("node"), "*"), "distinct")
+    wide = "float" if "float" in vectors.schema[vector].dataType.simpleString() else "double"
     hashers: dict[int, CrossPolytope] = {}
 
     def hasher(dims: int) -> CrossPolytope:
@@ -138,8 +143,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
             hashers[dims] = CrossPolytope(dims, tables, 2, probes)
         return hashers[dims]
 
-    def unit_rows(x: list) -> np.ndarray:
-        y = np.array(x, np.float64)
+    def unit_rows(x: np.ndarray) -> np.ndarray:
+        y = x.astype(np.float64)
         y /= np.abs(y).max(1, keepdims=True)  # else a square can leave the range
         return y / np.linalg.norm(y, axis=1, keepdims=True)
 
@@ -150,22 +155,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
                 same = batch[lengths == dims]
                 for start in range(0, len(same), 1024):  # each row makes tables * (probes + 1) entries
                     own = same.iloc[start : start + 1024]
-                    unit = unit_rows(own["x"].to_list())
-                    codes = hasher(int(dims)).codes(unit)
+                    codes = hasher(int(dims)).codes(unit_rows(np.array(own["x"].to_list(), np.float64)))
                     n, t, p = codes.shape
                     at = np.repeat(np.arange(n), t * p)
-                    blobs = [u.tobytes() for u in unit]
-                    yield pd.DataFrame({"group": own["group"].to_numpy()[at], "dims": int(dims), "t": np.tile(np.repeat(np.arange(t), p), n), "bucket": codes.ravel(), "probe": np.tile(np.arange(p) > 0, n * t).astype("int32"), "id": own["id"].to_numpy()[at], "copies": own["copies"].to_numpy()[at], "x": [blobs[i] for i in at]})
+                    yield pd.DataFrame({"group": own["group"].to_numpy()[at], "dims": int(dims), "t": np.tile(np.repeat(np.arange(t), p), n), "bucket": codes.ravel(), "probe": np.tile(np.arange(p) > 0, n * t).astype("int32"), "node": own["node"].to_numpy()[at]})
 
     where = ["group", "dims", "t", "bucket"]
-    entries = scratch.save(distinct.mapInPandas(buckets, "group string, dims int, t int, bucket long, probe int, id long, copies long, x binary"), "entries")
+    entries = scratch.save(distinct.select("node", "group", "x").mapInPandas(tidy(buckets), "group string, dims int, t int, bucket long, probe int, node long"), "entries")
     large = entries.groupBy(*where).agg(F.count("*").alias("n"), F.min("probe").alias("probe")).where("n > 1 and probe = 0").select(*where, F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    entries = entries.join(large, where)
-    mine = F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    mine = F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    bits = F.transform("x", lambda v: v.cast(wide))
+    entries = entries.join(large, where).join(distinct.select("node", "copies", bits.alias("x")), "node")
     entries = entries.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     entries = entries.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
     entries = entries.withColumn("half", F.when(F.col("low") == F.col("high"), 0).when(F.col("mine") == F.col("low"), 1).otherwise(2))
-    cells = entries.select("group", "dims", "t", "bucket", "low", "high", "half", "probe", "id", "copies", "x")
+    cells = entries.select("group", "dims", "t", "bucket", "low", "high", "half", "probe", "node", "copies", "x")
     at = ["group", "dims", "t", "bucket", "low", "high"]
 
     def compare(batches):
@@ -175,18 +179,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
             dims = int(part["dims"].iloc[0])
             cell = part[at].ne(part[at].shift()).any(axis=1).cumsum().to_numpy()
             keys = np.stack([cell, part["t"].to_numpy(), part["bucket"].to_numpy()], 1)
-            ids, copies = part["id"].to_numpy(), part["copies"].to_numpy()
-            unit = np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), dims)
-            hit = linked_pairs(keys, part["probe"].to_numpy(), part["half"].to_numpy(), ids, unit, hasher(dims), least)
+            nodes, copies = part["node"].to_numpy(), part["copies"].to_numpy()
+            unit = unit_rows(np.stack(part["x"].to_list()))
+            hit = linked_pairs(keys, part["probe"].to_numpy(), part["half"].to_numpy(), nodes, unit, hasher(dims), least)
             if not len(hit):
                 return None
-            links = np.bincount(hit[:, 0], copies[hit[:, 1]], len(ids)) + np.bincount(hit[:, 1], copies[hit[:, 0]], len(ids))
-            root = np.arange(len(ids))
-            order = np.argsort(ids, kind="stable")
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids))
+            links = np.bincount(hit[:, 0], copies[hit[:, 1]], len(nodes)) + np.bincount(hit[:, 1], copies[hit[:, 0]], len(nodes))
+            order = np.argsort(nodes, kind="stable")
+            rank = np.empty(len(nodes), np.int64)
+            rank[order] = np.arange(len(nodes))
             root = rank.copy()
-            while True:  # the least of each component, as a rank of the id
+            while True:  # the least of each component, as a rank of the node
                 new = root.copy()
                 np.minimum.at(new, hit[:, 0], root[hit[:, 1]])
                 np.minimum.at(new, hit[:, 1], new[hit[:, 0]])
@@ -195,7 +198,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
                     break
                 root = new
             on = np.flatnonzero(links)
-            return pd.DataFrame({"id": ids[on], "links": links[on].astype("int64"), "root": ids[order[root[on]]]})
+            return pd.DataFrame({"node": nodes[on], "links": links[on].astype("int64"), "root": nodes[order[root[on]]]})
 
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -209,17 +212,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
         if held is not None and len(held) and (found := solve(held)) is not None:
             yield found
 
-    found = cells.repartition(partitions(spark), *at).sortWithinPartitions(*at).mapInPandas(compare, "id long, links long, root long")
+    found = cells.repartition(partitions(spark), *at).sortWithinPartitions(*at).mapInPandas(tidy(compare), "node long, links long, root long")
     found = scratch.save(found, "found")
     scratch.drop("entries")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), scratch)
-    classes = distinct.select("same", "id", "copies").join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = scratch.save(connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch), "parts")
+    # The least key of a component: its nodes' are combined before they meet.
+    named = parts.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
+    parts = parts.join(named, "component").select("node", "least")
+    classes = distinct.select("same", "node", "id", "copies").join(links, "node", "left").join(parts, "node", "left")
+    classes = classes.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     out = rows.select(F.col("id").alias(key), "same").join(classes, "same", "left")
     out = out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", key).alias("component_id"))
     out = scratch.save(out.withColumn("kept", F.col(key) == F.col("component_id")), "out")
-    scratch.drop("rows", "distinct", "found")
+    scratch.drop("rows", "distinct", "found", "parts")
     return out
 
 
@@ -228,20 +234,21 @@ def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+WITH RECURSIVE k AS (SELECT row_number() OVER () AS place, * FROM embeddings WHERE vec_id IS NOT NULL),
+v AS (
+  SELECT place, label, list_transform(embedding, lambda x: x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y::DOUBLE)))) AS x FROM k
   WHERE label IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 e AS (
-  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
-  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+  SELECT a.place AS u, b.place AS w FROM v a JOIN v b ON a.label = b.label AND a.place <> b.place
+  WHERE len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
 reach AS (
-  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  SELECT place AS node, place AS seen FROM k
   UNION
   SELECT node, w FROM reach JOIN e ON e.u = reach.seen),
-c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+c AS (SELECT node, min(vec_id) AS component_id FROM reach JOIN k ON place = seen GROUP BY node),
 n AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
-FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON u = vec_id
+FROM k JOIN c ON node = place LEFT JOIN n ON u = place
 """
