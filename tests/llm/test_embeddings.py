@@ -19,16 +19,19 @@ def rows_of(seed=0, dims=16):
 
 
 def brute(rows, least=0.93):
-    fit = [(i, np.array(v, float), l) for i, v, l, _ in rows if i is not None and v and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    links, root = {r[0]: 0 for r in rows if r[0] is not None}, {r[0]: r[0] for r in rows if r[0] is not None}
+    rows = [r for r in rows if r[0] is not None]
+    fit = [(k, np.array(v, float) / np.abs(np.array(v, float)).max(), l) for k, (_, v, l, _) in enumerate(rows) if v and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links, root = [0] * len(rows), list(range(len(rows)))
     find = lambda x: x if root[x] == x else find(root[x])
     for i, a, l in fit:
         for j, b, m in fit:
             if i != j and l == m and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= least:
                 links[i] += 1
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    return sorted((i, n, find(i)) for i, n in links.items())
+                root[find(i)] = find(j)
+    least_id = {}
+    for k, r in enumerate(rows):
+        least_id[find(k)] = min(r[0], least_id.get(find(k), r[0]))
+    return sorted((r[0], links[k], least_id[find(k)]) for k, r in enumerate(rows))
 
 
 def test_near_duplicates_match_brute_force(spark):
@@ -38,6 +41,12 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_keys_of_several_vectors_and_tiny_or_huge_ones(spark):
+    rows = [(1, [1.0, 0.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (2, [1.0, 0.01], 0, "x"), (2, [1.0, 0.01], 0, "x"), (5, [1e-170, 0.0], 1, "x"), (4, [1e-170, 1e-172], 1, "x"), (9, [1e300, -1e300], 1, "x"), (8, [3e299, -3e299], 1, "x"), (3, [0.0, 1.0], 0, "x")]
+    got = near_embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows)
+
+
 def test_a_hot_bucket_is_split_and_counts_stay_whole(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=16)
