@@ -14,17 +14,23 @@ from convexus.llm import kneser_ney, near_documents, packing, suffix_dedup, toxi
 from convexus.llm.common import Scratch
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., and the new name of each: an operator's own columns can't clash with those."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is at most the threshold of their language."""
     model = kneser_ney.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    columns = docs.columns
-    return model.perplexity(docs, out="_perplexity").where(F.col("_perplexity") <= model.threshold()).select(*columns)
+    rows, name = _numbered(docs)
+    return model.judged(rows, rows.columns, name["text"], name["lang"]).where("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3."""
     model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return docs.where(model.score()(F.col("text")) < 0.3)
+    return Scratch(spark, "clean").save(docs.where(model.score()(F.col("text")) < toxicity.THRESHOLD), "documents")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +43,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 200 bytes that also start elsewhere."""
-    out = suffix_dedup.remove_repeats(docs, prefix="_")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, name = _numbered(docs)
+    out = suffix_dedup.remove_repeats(rows, text=name["text"])
+    length = F.length(name["text"]).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn(name["n_chars"], length).select(*rows.columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +65,15 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL expresses the models and tokenizers; tests compare each stage with a plain version.
+#: No SQL expresses the models and tokenizers; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
