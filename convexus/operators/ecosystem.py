@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from ..sources.tables import table
 
 MODELS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -29,9 +30,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, question, category, dose, track, total, n: the sums of which every response is made, staged, so that a query scans the line items once."""
+    sums = lambda: lines(spark, sf_dir).groupBy("model", "question", "category", "dose", "track").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    return staged(spark, ("cells", sf_dir), sums)
+
+
 def responses(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """model, question, category, dose (and track): the mean response of each cell."""
-    return lines(spark, sf_dir).groupBy("model", "question", "category", "dose", *extra).agg(F.avg("value").alias("response"))
+    return cells(spark, sf_dir).groupBy("model", "question", "category", "dose", *extra).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("response"))
 
 
 def align(frame: DataFrame, roster: list[str], keys: list[str], value: str = "response", model: str = "model") -> DataFrame:

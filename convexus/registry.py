@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources import staging
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -14,7 +17,12 @@ def query(name: str, sql: str | None = None):
     """Registers a callable of (spark, sf_dir), with DuckDB SQL where SQL can say the same."""
 
     def keep(function):
-        QUERIES[name] = function
+        @functools.wraps(function)
+        def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with staging.scope():
+                return function(spark, sf_dir)
+
+        QUERIES[name] = scoped
         if sql:
             SQL[name] = sql
         return function

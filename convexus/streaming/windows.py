@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import staging
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="convexus-stream-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    """A folder of its own in the one that driver and executors share, without which a stream can't resume."""
+    found = staging.shared_folder(spark)
+    if found is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{found}/stream-{uuid.uuid4().hex}"
 
 
 def window_moments(events: DataFrame, keys: list[str], time: str, value: str, width: str = "1 day", late: str = "30 days") -> DataFrame:
