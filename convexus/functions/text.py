@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from .hashing import stable_key
 
-#: Negation markers.
-NEGATIONS = ["not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "cannot", "without"]
+#: Negation markers, as words of their own.
+NEGATIONS = ["not", "no", "never", "none", "nothing", "nowhere", "hardly", "barely", "scarcely", "without"]
+#: Patterns of an answer that is named, of a letter that stands alone, and of the end of reasoning.
+ANSWER = r"(?is)answer\s*(?:is|:)?\s*\(?([A-J])\)?"
+ALONE = r"(?i)(?<![A-Za-z0-9])\(?([A-J])\)?(?![A-Za-z0-9])"
+REASONED = r"(?is)^.*(?:</think>|</analysis>|final\s*:)"
 LETTERS = "ABCDEFGHIJ"
 
 
@@ -17,12 +21,19 @@ def words(text):
 
 
 def bucket_length(n):
-    """Short up to 10 words, medium up to 20, long above."""
-    return F.when(n <= 10, "short").when(n <= 20, "medium").otherwise("long")
+    """Short up to 7 words, medium up to 15, long above."""
+    return F.when(n <= 7, "short").when(n <= 15, "medium").otherwise("long")
+
+
+def bucket_sentiment(p):
+    """By a positive-class probability: strong at 0.2 and below or 0.8 and above."""
+    return F.when(p <= 0.2, "negative").when(p >= 0.8, "positive").otherwise("ambiguous")
 
 
 def has_negation(text):
-    return F.lower(text).rlike(r"n't|(^|[^a-z0-9_])(" + "|".join(NEGATIONS) + r")([^a-z0-9_]|$)")
+    """A marker between blanks, or at the beginning or end next to one; or the ending of a contraction."""
+    marks = "|".join(NEGATIONS)
+    return F.lower(text).rlike(rf"(?s)n't| ({marks}) |\A({marks}) | ({marks})\z")
 
 
 def fold(text):
@@ -46,13 +57,15 @@ def first_label(text, n_options: int):
 
 
 def final_label(text, n_options: int):
-    """(label, method): the last explicit answer of the last 4096 characters, else the last standalone letter, else null."""
+    """(label, method) from the last 4096 characters: the last answer that is named, else the last letter that stands alone, else the last such letter after the end of reasoning, else null."""
     tail = F.right(text, F.lit(4096))
-    own = lambda found: F.filter(found, lambda c: F.contains(F.lit(LETTERS[:n_options]), F.upper(c)))
-    explicit = own(F.regexp_extract_all(tail, F.lit(r"(?:[Ff]inal )?[Aa]nswer(?: is)?[: ]+\(?([A-Ja-j])(?:[^A-Za-z]|$)"), F.lit(1)))
-    alone = own(F.regexp_extract_all(tail, F.lit(r"(?:^|[^A-Za-z])([A-J])(?:[^A-Za-z]|$)"), F.lit(1)))
-    last = lambda a: F.when(F.size(a) > 0, F.upper(F.element_at(a, -1)))
-    return F.coalesce(last(explicit), last(alone)), F.when(F.size(explicit) > 0, "explicit").when(F.size(alone) > 0, "letter").otherwise("none")
+    own = lambda found: F.filter(F.transform(found, F.upper), lambda c: F.contains(F.lit(LETTERS[:n_options]), c))
+    named = own(F.regexp_extract_all(tail, F.lit(ANSWER), F.lit(1)))
+    alone = own(F.regexp_extract_all(tail, F.lit(ALONE), F.lit(1)))
+    after = own(F.regexp_extract_all(F.when(tail.rlike(REASONED), F.regexp_replace(tail, REASONED, "")), F.lit(ALONE), F.lit(1)))
+    last = lambda a: F.when(F.size(a) > 0, F.element_at(a, -1))
+    method = F.when(F.size(named) > 0, "explicit_final_answer").when(F.size(alone) > 0, "final_standalone_label").when(F.size(after) > 0, "post_reasoning_delimiter")
+    return F.coalesce(last(named), last(alone), last(after)), method.otherwise("unresolved")
 
 
 def prompt(question, options):

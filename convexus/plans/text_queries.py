@@ -11,11 +11,12 @@ from ..registry import SQL, query
 from ..sources.tables import table
 
 WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
-NEG = r"'n''t|(^|[^a-z0-9_])(not|no|never|none|nobody|nothing|neither|nor|cannot|without)([^a-z0-9_]|$)'"
+MARKS = "not|no|never|none|nothing|nowhere|hardly|barely|scarcely|without"
+NEG = rf"'n''t| ({MARKS}) |^({MARKS}) | ({MARKS})$'"
 
 
 @query("context_buckets", f"""WITH b AS (SELECT lang, len({WORDS}) AS n, regexp_matches(lower(text), {NEG}) AS neg FROM documents WHERE text IS NOT NULL)
-SELECT lang, CASE WHEN n <= 10 THEN 'short' WHEN n <= 20 THEN 'medium' ELSE 'long' END AS bucket, neg, count(*) AS n_docs, round(avg(n), 6) AS mean_words FROM b GROUP BY ALL""")
+SELECT lang, CASE WHEN n <= 7 THEN 'short' WHEN n <= 15 THEN 'medium' ELSE 'long' END AS bucket, neg, count(*) AS n_docs, round(avg(n), 6) AS mean_words FROM b GROUP BY ALL""")
 def context_buckets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("lang", F.size(text.words(F.col("text"))).alias("n"), text.has_negation(F.col("text")).alias("neg"))
     return d.groupBy("lang", text.bucket_length(F.col("n")).alias("bucket"), "neg").agg(F.count("*").alias("n_docs"), F.round(F.avg("n"), 6).alias("mean_words"))
@@ -208,9 +209,9 @@ def labelled(spark, sf_dir):
 
 
 @query("label_extraction", "WITH " + LABELLED + r""",
-x AS (SELECT conv_id, turn, list_filter(regexp_extract_all(text[-4096:], '(?:[Ff]inal )?[Aa]nswer(?: is)?[: ]+\(?([A-Ja-j])(?:[^A-Za-z]|$)', 1), lambda c: contains('ABCD', upper(c))) AS e,
-  list_filter(regexp_extract_all(text[-4096:], '(?:^|[^A-Za-z])([A-J])(?:[^A-Za-z]|$)', 1), lambda c: contains('ABCD', c)) AS l, list_filter(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-J])(?:[^A-Za-z]|$)', 1), lambda c: contains('ABCD', c)) AS f FROM q)
-SELECT conv_id, turn, coalesce(upper(e[-1]), l[-1]) AS final_label, CASE WHEN len(e) > 0 THEN 'explicit' WHEN len(l) > 0 THEN 'letter' ELSE 'none' END AS method, f[1] AS first_label FROM x""")
+x AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text[-4096:], '(?is)answer\s*(?:is|:)?\s*\(?([A-J])\)?', 1), lambda c: upper(c)), lambda c: contains('ABCD', c)) AS e,
+  list_filter(list_transform(regexp_extract_all(regexp_replace(text[-4096:], '([^A-Za-z0-9])', '\1\1', 'g'), '(?i)(?:^|[^A-Za-z0-9])\(?([A-J])\)?(?:[^A-Za-z0-9]|$)', 1), lambda c: upper(c)), lambda c: contains('ABCD', c)) AS l, list_filter(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-J])(?:[^A-Za-z]|$)', 1), lambda c: contains('ABCD', c)) AS f FROM q)
+SELECT conv_id, turn, coalesce(e[-1], l[-1]) AS final_label, CASE WHEN len(e) > 0 THEN 'explicit_final_answer' WHEN len(l) > 0 THEN 'final_standalone_label' ELSE 'unresolved' END AS method, f[1] AS first_label FROM x""")
 def label_extraction(spark, sf_dir):
     """Final and first option letters of turns to which answers were appended."""
     label, method = text.final_label(F.col("text"), 4)
