@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import coverage_queries, fit_queries, report_queries, resample_queries, table_queries, text_queries, traffic_queries, vector_queries  # noqa: F401
+from .plans import audit_queries, coverage_queries, ensemble_queries, fit_queries, report_queries, resample_queries, table_queries, text_queries, traffic_queries, vector_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
-FLAGSHIP = "pier_p2"
+FLAGSHIP = "residual_p2"

@@ -56,4 +56,4 @@ def mae_fits(aligned: DataFrame, keys: list[str], n_models: int) -> DataFrame:
 def evaluate(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     """Held-out mean |residual| of fits with peers and weights; the fits are few (targets by keys) and are joined on the keys."""
     guess = F.aggregate(F.zip_with("weights", "peers", lambda w, p: w * F.get("x", p)), F.lit(0.0), lambda s, v: s + v)
-    return rows.join(fits, keys).groupBy(*keys, "target", "peers").agg(F.avg(F.abs(F.get("x", F.col("target")) - guess)).alias("pier"), F.first("weights").alias("weights"), F.first("objective").alias("objective"), F.first("kkt_gap").alias("kkt_gap"))
+    return rows.join(fits, keys).groupBy(*keys, "target", "peers").agg(F.avg(F.abs(F.get("x", F.col("target")) - guess)).alias("mix_error"), F.first("weights").alias("weights"), F.first("objective").alias("objective"), F.first("kkt_gap").alias("kkt_gap"))

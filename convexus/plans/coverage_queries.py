@@ -125,37 +125,37 @@ def uniform_oracle_baselines(spark, sf_dir):
     return rows.groupBy("split_seed", "t").agg(R9(F.avg(F.abs(y - mean / 4))).alias("uniform_error"), R9(F.avg(F.array_min(F.transform(others, lambda v: F.abs(v - y))))).alias("oracle_error"), F.count("*").alias("n"))
 
 
-@query("pier_p2", "WITH " + oracle.residuals() + """,
-d AS (SELECT split_seed, t, a, b, any_value(wa) AS wa, avg(abs(res)) FILTER (side = 'eval') AS pier, avg(abs(res)) FILTER (side = 'fit') AS fit_error,
+@query("residual_p2", "WITH " + oracle.residuals() + """,
+d AS (SELECT split_seed, t, a, b, any_value(wa) AS wa, avg(abs(res)) FILTER (side = 'eval') AS mix_error, avg(abs(res)) FILTER (side = 'fit') AS fit_error,
   avg(abs(x[t + 1] - x[a + 1])) FILTER (side = 'eval') AS ea, avg(abs(x[t + 1] - x[b + 1])) FILTER (side = 'eval') AS eb,
   round(avg(abs(x[t + 1] - x[a + 1])) FILTER (side = 'fit'), 12) AS fa, round(avg(abs(x[t + 1] - x[b + 1])) FILTER (side = 'fit'), 12) AS fb, count(*) FILTER (side = 'eval') AS n FROM r GROUP BY ALL)
-SELECT split_seed, t, a, b, round(wa, 9) AS wa, round(pier, 9) AS pier, round(fit_error, 9) AS fit_error, CASE WHEN fa <= fb THEN a ELSE b END AS single,
-  round(CASE WHEN fa <= fb THEN ea ELSE eb END, 9) AS single_error, round(CASE WHEN fa <= fb THEN ea ELSE eb END - pier, 9) AS gain, n FROM d""")
-def pier_p2(spark, sf_dir):
+SELECT split_seed, t, a, b, round(wa, 9) AS wa, round(mix_error, 9) AS mix_error, round(fit_error, 9) AS fit_error, CASE WHEN fa <= fb THEN a ELSE b END AS single,
+  round(CASE WHEN fa <= fb THEN ea ELSE eb END, 9) AS single_error, round(CASE WHEN fa <= fb THEN ea ELSE eb END - mix_error, 9) AS gain, n FROM d""")
+def residual_p2(spark, sf_dir):
     """Held-out error of the best mixture of two peers, against the peer that fits best alone."""
     r = pair_residuals(spark, sf_dir)
     off = lambda p: F.abs(F.get("x", F.col("t")) - F.get("x", F.col(p)))
     on = lambda s, v: F.avg(F.when(F.col("side") == s, v))
-    d = r.groupBy(*PAIR).agg(F.first("wa").alias("wa"), on("eval", F.abs("res")).alias("pier"), on("fit", F.abs("res")).alias("fit_error"), on("eval", off("a")).alias("ea"), on("eval", off("b")).alias("eb"), F.round(on("fit", off("a")), 12).alias("fa"), F.round(on("fit", off("b")), 12).alias("fb"), F.sum((F.col("side") == "eval").cast("long")).alias("n"))
+    d = r.groupBy(*PAIR).agg(F.first("wa").alias("wa"), on("eval", F.abs("res")).alias("mix_error"), on("fit", F.abs("res")).alias("fit_error"), on("eval", off("a")).alias("ea"), on("eval", off("b")).alias("eb"), F.round(on("fit", off("a")), 12).alias("fa"), F.round(on("fit", off("b")), 12).alias("fb"), F.sum((F.col("side") == "eval").cast("long")).alias("n"))
     first = F.col("fa") <= F.col("fb")
     single = F.when(first, F.col("ea")).otherwise(F.col("eb"))
-    return d.select(*PAIR, R9("wa").alias("wa"), R9("pier").alias("pier"), R9("fit_error").alias("fit_error"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("single"), R9(single).alias("single_error"), R9(single - F.col("pier")).alias("gain"), "n")
+    return d.select(*PAIR, R9("wa").alias("wa"), R9("mix_error").alias("mix_error"), R9("fit_error").alias("fit_error"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("single"), R9(single).alias("single_error"), R9(single - F.col("mix_error")).alias("gain"), "n")
 
 
-@query("dose_trajectory", "WITH " + oracle.residuals() + """, d AS (SELECT split_seed, t, a, b, dose, avg(abs(res)) AS pier, count(DISTINCT question) AS n FROM r WHERE side = 'eval' GROUP BY ALL)
-SELECT t, a, b, dose, round(avg(pier), 9) AS pier, sum(n)::BIGINT AS n FROM d GROUP BY ALL""")
+@query("dose_trajectory", "WITH " + oracle.residuals() + """, d AS (SELECT split_seed, t, a, b, dose, avg(abs(res)) AS mix_error, count(DISTINCT question) AS n FROM r WHERE side = 'eval' GROUP BY ALL)
+SELECT t, a, b, dose, round(avg(mix_error), 9) AS mix_error, sum(n)::BIGINT AS n FROM d GROUP BY ALL""")
 def dose_trajectory(spark, sf_dir):
-    """PIER at each dose, averaged over splits."""
-    d = pair_residuals(spark, sf_dir).where("side = 'eval'").groupBy(*PAIR, "dose").agg(F.avg(F.abs("res")).alias("pier"), F.countDistinct("question").alias("n"))
-    return d.groupBy("t", "a", "b", "dose").agg(R9(F.avg("pier")).alias("pier"), F.sum("n").alias("n"))
+    """Held-out error at each dose, averaged over splits."""
+    d = pair_residuals(spark, sf_dir).where("side = 'eval'").groupBy(*PAIR, "dose").agg(F.avg(F.abs("res")).alias("mix_error"), F.countDistinct("question").alias("n"))
+    return d.groupBy("t", "a", "b", "dose").agg(R9(F.avg("mix_error")).alias("mix_error"), F.sum("n").alias("n"))
 
 
-@query("equal_dose_overall", "WITH " + oracle.residuals() + """, d AS (SELECT split_seed, t, a, b, dose, avg(abs(res)) AS pier, count(*) AS n FROM r WHERE side = 'eval' GROUP BY ALL)
-SELECT split_seed, t, a, b, round(avg(pier), 9) AS equal_dose, round(sum(pier * n) / sum(n), 9) AS pooled FROM d GROUP BY ALL""")
+@query("equal_dose_overall", "WITH " + oracle.residuals() + """, d AS (SELECT split_seed, t, a, b, dose, avg(abs(res)) AS mix_error, count(*) AS n FROM r WHERE side = 'eval' GROUP BY ALL)
+SELECT split_seed, t, a, b, round(avg(mix_error), 9) AS equal_dose, round(sum(mix_error * n) / sum(n), 9) AS pooled FROM d GROUP BY ALL""")
 def equal_dose_overall(spark, sf_dir):
     """The mean of the doses' means, beside the pooled mean; the two are different estimands."""
-    d = pair_residuals(spark, sf_dir).where("side = 'eval'").groupBy(*PAIR, "dose").agg(F.avg(F.abs("res")).alias("pier"), F.count("*").alias("n"))
-    return d.groupBy(*PAIR).agg(R9(F.avg("pier")).alias("equal_dose"), R9(F.sum(F.col("pier") * F.col("n")) / F.sum("n")).alias("pooled"))
+    d = pair_residuals(spark, sf_dir).where("side = 'eval'").groupBy(*PAIR, "dose").agg(F.avg(F.abs("res")).alias("mix_error"), F.count("*").alias("n"))
+    return d.groupBy(*PAIR).agg(R9(F.avg("mix_error")).alias("equal_dose"), R9(F.sum(F.col("mix_error") * F.col("n")) / F.sum("n")).alias("pooled"))
 
 
 ENDPOINT = oracle.residuals() + """, q AS (SELECT split_seed, t, a, b, avg(abs(res)) FILTER (dose = 0) AS clean, avg(abs(res)) FILTER (dose = 6) AS high FROM r WHERE side = 'eval' GROUP BY ALL)"""
@@ -204,15 +204,15 @@ def trackwise_cancellation(spark, sf_dir):
 
 
 @query("peer_removal_influence", "WITH " + oracle.residuals() + """,
-i AS (SELECT split_seed, t, a, b, avg(abs(res)) AS pier, avg(abs(x[t + 1] - x[a + 1])) AS without_b, avg(abs(x[t + 1] - x[b + 1])) AS without_a FROM r WHERE side = 'eval' GROUP BY ALL),
-l AS (SELECT split_seed, t, a AS removed, b AS other, round(without_a - pier, 9) AS inflation FROM i UNION ALL SELECT split_seed, t, b, a, round(without_b - pier, 9) FROM i)
+i AS (SELECT split_seed, t, a, b, avg(abs(res)) AS mix_error, avg(abs(x[t + 1] - x[a + 1])) AS without_b, avg(abs(x[t + 1] - x[b + 1])) AS without_a FROM r WHERE side = 'eval' GROUP BY ALL),
+l AS (SELECT split_seed, t, a AS removed, b AS other, round(without_a - mix_error, 9) AS inflation FROM i UNION ALL SELECT split_seed, t, b, a, round(without_b - mix_error, 9) FROM i)
 SELECT split_seed, t, removed, other, inflation, rank() OVER (PARTITION BY split_seed, t ORDER BY inflation DESC)::INTEGER AS influence_rank, count(*) OVER (PARTITION BY split_seed, t, inflation) AS ties FROM l""")
 def peer_removal_influence(spark, sf_dir):
     """What removing either peer of a pair adds to the error, ranked within the target."""
     r = pair_residuals(spark, sf_dir).where("side = 'eval'")
     off = lambda p: F.avg(F.abs(F.get("x", F.col("t")) - F.get("x", F.col(p))))
-    i = r.groupBy(*PAIR).agg(F.avg(F.abs("res")).alias("pier"), off("a").alias("wb"), off("b").alias("wa"))
-    l = i.select("split_seed", "t", F.explode(F.array(F.struct(F.col("a").alias("removed"), F.col("b").alias("other"), R9(F.col("wa") - F.col("pier")).alias("inflation")), F.struct(F.col("b").alias("removed"), F.col("a").alias("other"), R9(F.col("wb") - F.col("pier")).alias("inflation")))).alias("c")).select("split_seed", "t", "c.*")
+    i = r.groupBy(*PAIR).agg(F.avg(F.abs("res")).alias("mix_error"), off("a").alias("wb"), off("b").alias("wa"))
+    l = i.select("split_seed", "t", F.explode(F.array(F.struct(F.col("a").alias("removed"), F.col("b").alias("other"), R9(F.col("wa") - F.col("mix_error")).alias("inflation")), F.struct(F.col("b").alias("removed"), F.col("a").alias("other"), R9(F.col("wb") - F.col("mix_error")).alias("inflation")))).alias("c")).select("split_seed", "t", "c.*")
     w = Window.partitionBy("split_seed", "t")
     return l.select("*", F.rank().over(w.orderBy(F.desc("inflation"))).alias("influence_rank"), F.count("*").over(Window.partitionBy("split_seed", "t", "inflation")).alias("ties"))
 
@@ -262,31 +262,31 @@ def design_transfer(spark, sf_dir):
     return j.groupBy(*PAIR).agg(R9(here).alias("transferred"), R9(there).alias("native"), (R9(here - there) + 0.0).alias("penalty"), R9(2 * F.abs(F.first("wa") - F.first("wh"))).alias("weight_change"))
 
 
-@query("subset_policies", "WITH " + oracle.residuals() + """, k AS (SELECT split_seed, t, a, b, round(avg(res * res) FILTER (side = 'fit'), 12) AS fit_loss, avg(abs(res)) FILTER (side = 'eval') AS pier FROM r GROUP BY ALL)
-SELECT split_seed, t, arg_min(a * 10 + b, (fit_loss, a, b))::INTEGER AS collective, round(arg_min(pier, (fit_loss, a, b)), 9) AS collective_error, round(avg(pier), 9) AS random_expected, round(min(pier), 9) AS best_possible, count(*) AS n_subsets FROM k GROUP BY ALL""")
+@query("subset_policies", "WITH " + oracle.residuals() + """, k AS (SELECT split_seed, t, a, b, round(avg(res * res) FILTER (side = 'fit'), 12) AS fit_loss, avg(abs(res)) FILTER (side = 'eval') AS mix_error FROM r GROUP BY ALL)
+SELECT split_seed, t, arg_min(a * 10 + b, (fit_loss, a, b))::INTEGER AS collective, round(arg_min(mix_error, (fit_loss, a, b)), 9) AS collective_error, round(avg(mix_error), 9) AS random_expected, round(min(mix_error), 9) AS best_possible, count(*) AS n_subsets FROM k GROUP BY ALL""")
 def subset_policies(spark, sf_dir):
     """Pairs chosen on the fitting side (ties to the first subset), against the mean over all pairs."""
-    k = pair_residuals(spark, sf_dir).groupBy(*PAIR).agg(F.round(F.avg(F.when(F.col("side") == "fit", F.col("res") * F.col("res"))), 12).alias("fit_loss"), F.avg(F.when(F.col("side") == "eval", F.abs("res"))).alias("pier"))
+    k = pair_residuals(spark, sf_dir).groupBy(*PAIR).agg(F.round(F.avg(F.when(F.col("side") == "fit", F.col("res") * F.col("res"))), 12).alias("fit_loss"), F.avg(F.when(F.col("side") == "eval", F.abs("res"))).alias("mix_error"))
     order = F.struct("fit_loss", "a", "b")
-    return k.groupBy("split_seed", "t").agg(F.min_by(F.col("a") * 10 + F.col("b"), order).alias("collective"), R9(F.min_by("pier", order)).alias("collective_error"), R9(F.avg("pier")).alias("random_expected"), R9(F.min("pier")).alias("best_possible"), F.count("*").alias("n_subsets"))
+    return k.groupBy("split_seed", "t").agg(F.min_by(F.col("a") * 10 + F.col("b"), order).alias("collective"), R9(F.min_by("mix_error", order)).alias("collective_error"), R9(F.avg("mix_error")).alias("random_expected"), R9(F.min("mix_error")).alias("best_possible"), F.count("*").alias("n_subsets"))
 
 
-@query("strategy_summary", "WITH " + oracle.residuals() + """, k AS (SELECT split_seed, t, a, b, round(avg(res * res) FILTER (side = 'fit'), 12) AS fit_loss, avg(abs(res)) FILTER (side = 'eval') AS pier FROM r GROUP BY ALL),
-c AS (SELECT split_seed, t, arg_min(pier, (fit_loss, a, b)) AS collective, avg(pier) AS random FROM k GROUP BY ALL)
+@query("strategy_summary", "WITH " + oracle.residuals() + """, k AS (SELECT split_seed, t, a, b, round(avg(res * res) FILTER (side = 'fit'), 12) AS fit_loss, avg(abs(res)) FILTER (side = 'eval') AS mix_error FROM r GROUP BY ALL),
+c AS (SELECT split_seed, t, arg_min(mix_error, (fit_loss, a, b)) AS collective, avg(mix_error) AS random FROM k GROUP BY ALL)
 SELECT t, round(avg(collective), 9) AS collective, round(avg(random), 9) AS random, round(avg(random) - avg(collective), 9) AS gain, round(100 * (avg(random) - avg(collective)) / nullif(avg(random), 0), 6) AS gain_percent FROM c GROUP BY t""")
 def strategy_summary(spark, sf_dir):
-    k = pair_residuals(spark, sf_dir).groupBy(*PAIR).agg(F.round(F.avg(F.when(F.col("side") == "fit", F.col("res") * F.col("res"))), 12).alias("fit_loss"), F.avg(F.when(F.col("side") == "eval", F.abs("res"))).alias("pier"))
-    c = k.groupBy("split_seed", "t").agg(F.min_by("pier", F.struct("fit_loss", "a", "b")).alias("c"), F.avg("pier").alias("r"))
+    k = pair_residuals(spark, sf_dir).groupBy(*PAIR).agg(F.round(F.avg(F.when(F.col("side") == "fit", F.col("res") * F.col("res"))), 12).alias("fit_loss"), F.avg(F.when(F.col("side") == "eval", F.abs("res"))).alias("mix_error"))
+    c = k.groupBy("split_seed", "t").agg(F.min_by("mix_error", F.struct("fit_loss", "a", "b")).alias("c"), F.avg("mix_error").alias("r"))
     gain = F.avg("r") - F.avg("c")
     return c.groupBy("t").agg(R9(F.avg("c")).alias("collective"), R9(F.avg("r")).alias("random"), R9(gain).alias("gain"), F.round(100 * F.try_divide(gain, F.avg("r")), 6).alias("gain_percent"))
 
 
-@query("roster_expansion", "WITH " + oracle.residuals() + """, k AS (SELECT split_seed, t, a, b, avg(abs(res)) AS pier, avg(abs(x[t + 1] - x[a + 1])) AS old FROM r WHERE side = 'eval' GROUP BY ALL)
-SELECT t, a, b, round(avg(old), 9) AS old_panel, round(avg(pier), 9) AS expanded_panel, round(avg(pier) - avg(old), 9) AS change, count(*) FILTER (pier < old - 1e-12) AS n_better FROM k GROUP BY ALL""")
+@query("roster_expansion", "WITH " + oracle.residuals() + """, k AS (SELECT split_seed, t, a, b, avg(abs(res)) AS mix_error, avg(abs(x[t + 1] - x[a + 1])) AS old FROM r WHERE side = 'eval' GROUP BY ALL)
+SELECT t, a, b, round(avg(old), 9) AS old_panel, round(avg(mix_error), 9) AS expanded_panel, round(avg(mix_error) - avg(old), 9) AS change, count(*) FILTER (mix_error < old - 1e-12) AS n_better FROM k GROUP BY ALL""")
 def roster_expansion(spark, sf_dir):
     """One peer, then the panel with a second one."""
-    k = pair_residuals(spark, sf_dir).where("side = 'eval'").groupBy(*PAIR).agg(F.avg(F.abs("res")).alias("pier"), F.avg(F.abs(F.get("x", F.col("t")) - F.get("x", F.col("a")))).alias("old"))
-    return k.groupBy("t", "a", "b").agg(R9(F.avg("old")).alias("old_panel"), R9(F.avg("pier")).alias("expanded_panel"), R9(F.avg("pier") - F.avg("old")).alias("change"), F.sum((F.col("pier") < F.col("old") - 1e-12).cast("long")).alias("n_better"))
+    k = pair_residuals(spark, sf_dir).where("side = 'eval'").groupBy(*PAIR).agg(F.avg(F.abs("res")).alias("mix_error"), F.avg(F.abs(F.get("x", F.col("t")) - F.get("x", F.col("a")))).alias("old"))
+    return k.groupBy("t", "a", "b").agg(R9(F.avg("old")).alias("old_panel"), R9(F.avg("mix_error")).alias("expanded_panel"), R9(F.avg("mix_error") - F.avg("old")).alias("change"), F.sum((F.col("mix_error") < F.col("old") - 1e-12).cast("long")).alias("n_better"))
 
 
 @query("mae_p2", "WITH " + oracle.residuals() + """,
@@ -380,7 +380,7 @@ def router_mae(spark, sf_dir):
 
 
 @query("context_residual_summary", "WITH " + oracle.residuals() + """
-SELECT category, t, dose, round(avg(abs(res)), 9) AS mean_pier, round(stddev_pop(abs(res)), 9) AS sd_pier, count(*) FILTER (side = 'eval') AS n_eval, count(*) FILTER (side = 'fit') AS n_fit FROM r GROUP BY ALL""")
+SELECT category, t, dose, round(avg(abs(res)), 9) AS mean_error, round(stddev_pop(abs(res)), 9) AS sd_error, count(*) FILTER (side = 'eval') AS n_eval, count(*) FILTER (side = 'fit') AS n_fit FROM r GROUP BY ALL""")
 def context_residual_summary(spark, sf_dir):
     r = pair_residuals(spark, sf_dir)
-    return r.groupBy("category", "t", "dose").agg(R9(F.avg(F.abs("res"))).alias("mean_pier"), R9(F.stddev_pop(F.abs("res"))).alias("sd_pier"), F.sum((F.col("side") == "eval").cast("long")).alias("n_eval"), F.sum((F.col("side") == "fit").cast("long")).alias("n_fit"))
+    return r.groupBy("category", "t", "dose").agg(R9(F.avg(F.abs("res"))).alias("mean_error"), R9(F.stddev_pop(F.abs("res"))).alias("sd_error"), F.sum((F.col("side") == "eval").cast("long")).alias("n_eval"), F.sum((F.col("side") == "fit").cast("long")).alias("n_fit"))

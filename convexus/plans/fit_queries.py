@@ -14,8 +14,8 @@ from ..registry import query
 from .vector_queries import logits
 
 
-@query("pier_full")
-def pier_full(spark, sf_dir):
+@query("residual_full")
+def residual_full(spark, sf_dir):
     """Every target on its four peers: fit, held-out error, weights and the proof of optimality."""
     rows = aligned_splits(spark, sf_dir)
     fits = fit.mse_fits(rows.where("side = 'fit'"), ["split_seed"], 5)
@@ -33,9 +33,9 @@ def subset_fits(spark, sf_dir):
 def peer_removal_full(spark, sf_dir):
     """What removing one of four peers adds to the held-out error, with ranks."""
     f = subset_fits(spark, sf_dir)
-    whole = f.where(F.size("peers") == 4).select("split_seed", "target", F.col("pier").alias("all_peers"))
+    whole = f.where(F.size("peers") == 4).select("split_seed", "target", F.col("mix_error").alias("all_peers"))
     less = f.where(F.size("peers") == 3).withColumn("removed", F.element_at(F.array_except(F.array_except(F.sequence(F.lit(0), F.lit(4)), "peers"), F.array("target")), 1))
-    j = less.join(whole, ["split_seed", "target"]).select("split_seed", "target", "removed", (F.col("pier") - F.col("all_peers")).alias("inflation"))
+    j = less.join(whole, ["split_seed", "target"]).select("split_seed", "target", "removed", (F.col("mix_error") - F.col("all_peers")).alias("inflation"))
     return j.withColumn("place", F.rank().over(Window.partitionBy("split_seed", "target").orderBy(F.desc(F.round("inflation", 12)))))
 
 

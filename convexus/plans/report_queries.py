@@ -48,13 +48,13 @@ def refit_bootstrap(spark, sf_dir):
 
 @query("dose_specific_fit", "WITH " + oracle.residuals() + """,
 k AS (SELECT split_seed, dose, t, a, b, least(greatest(sum((x[t + 1] - x[b + 1]) * (x[a + 1] - x[b + 1])) / sum((x[a + 1] - x[b + 1]) ** 2), 0), 1) AS wd FROM w JOIN sp USING (category, question), tri WHERE side = 'fit' GROUP BY ALL)
-SELECT r.split_seed, r.dose, r.t, r.a, r.b, round(any_value(wd), 8) AS wa, round(avg(abs(x[t + 1] - wd * x[a + 1] - (1 - wd) * x[b + 1])), 9) AS pier FROM r JOIN k USING (split_seed, dose, t, a, b) WHERE side = 'eval' GROUP BY ALL""")
+SELECT r.split_seed, r.dose, r.t, r.a, r.b, round(any_value(wd), 8) AS wa, round(avg(abs(x[t + 1] - wd * x[a + 1] - (1 - wd) * x[b + 1])), 9) AS mix_error FROM r JOIN k USING (split_seed, dose, t, a, b) WHERE side = 'eval' GROUP BY ALL""")
 def dose_specific_fit(spark, sf_dir):
     """Weights refitted at each dose."""
     rows = aligned_splits(spark, sf_dir)
     fits = pair_fits(rows.where("side = 'fit'"), ["split_seed", "dose"])
     off = F.abs(F.get("x", F.col("t")) - F.col("wa") * F.get("x", F.col("a")) - (1 - F.col("wa")) * F.get("x", F.col("b")))
-    return rows.where("side = 'eval'").join(fits, ["split_seed", "dose"]).groupBy("split_seed", "dose", "t", "a", "b").agg(F.round(F.first("wa"), 8).alias("wa"), R9(F.avg(off)).alias("pier"))
+    return rows.where("side = 'eval'").join(fits, ["split_seed", "dose"]).groupBy("split_seed", "dose", "t", "a", "b").agg(F.round(F.first("wa"), 8).alias("wa"), R9(F.avg(off)).alias("mix_error"))
 
 
 @query("modal_peer", "WITH " + SINGLE + """, s AS (SELECT split_seed, t, arg_min(p, (fit_error, p)) AS peer FROM p GROUP BY ALL), c AS (SELECT t, peer, count(*) AS n FROM s GROUP BY ALL)
@@ -200,10 +200,10 @@ def tv_p2(spark, sf_dir):
 def shapley_coverage(spark, sf_dir):
     """Exact Shapley shares of the peers in the coverage of a target, over all sets of four peers: sums over subset pairs, from the fits of every subset."""
     f = subset_fits(spark, sf_dir)
-    empty = aligned_splits(spark, sf_dir).where("side = 'eval'").select("split_seed", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("target"), "x").groupBy("split_seed", "target").agg(F.avg(F.abs(F.get("x", F.col("target")))).alias("pier"))
+    empty = aligned_splits(spark, sf_dir).where("side = 'eval'").select("split_seed", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("target"), "x").groupBy("split_seed", "target").agg(F.avg(F.abs(F.get("x", F.col("target")))).alias("mix_error"))
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = {frozenset(p): -v for p, v in zip(pdf["peers"], pdf["pier"], strict=True)}
+        value = {frozenset(p): -v for p, v in zip(pdf["peers"], pdf["mix_error"], strict=True)}
         peers = sorted(set().union(*value))
         n, out = len(peers), []
         for i in peers:
@@ -212,7 +212,7 @@ def shapley_coverage(spark, sf_dir):
             out.append((pdf["split_seed"].iloc[0], pdf["target"].iloc[0], i, float(total)))
         return pd.DataFrame(out, columns=["split_seed", "target", "peer", "share"])
 
-    every = f.select("split_seed", "target", "peers", "pier").unionByName(empty.withColumn("peers", F.array().cast("array<int>")))
+    every = f.select("split_seed", "target", "peers", "mix_error").unionByName(empty.withColumn("peers", F.array().cast("array<int>")))
     return every.groupBy("split_seed", "target").applyInPandas(share, "split_seed long, target int, peer int, share double")  # 16 rows
 
 

@@ -19,8 +19,8 @@ def subsets(spark, sf_dir):
     return {(r["split_seed"], r["target"], tuple(r["peers"])): r for r in catalog.QUERIES["subset_fits"](spark, sf_dir).collect()}
 
 
-def test_pier_full(spark, sf_dir, design):
-    rows = catalog.QUERIES["pier_full"](spark, sf_dir).collect()
+def test_residual_full(spark, sf_dir, design):
+    rows = catalog.QUERIES["residual_full"](spark, sf_dir).collect()
     assert len(rows) == 5 * len(design)
     for r in rows:
         fit, held = design[r["split_seed"]]
@@ -28,7 +28,7 @@ def test_pier_full(spark, sf_dir, design):
         x, y = fit[:, p], fit[:, t]
         best, _ = solvers._face_enumeration(x.T @ x, x.T @ y)
         assert ((y - x @ np.array(r["weights"])) ** 2).sum() <= ((y - x @ best) ** 2).sum() + 1e-12
-        assert r["pier"] == pytest.approx(np.abs(held[:, t] - held[:, p] @ np.array(r["weights"])).mean(), abs=1e-12)
+        assert r["mix_error"] == pytest.approx(np.abs(held[:, t] - held[:, p] @ np.array(r["weights"])).mean(), abs=1e-12)
         assert r["kkt_gap"] <= 1e-7
 
 
@@ -37,13 +37,13 @@ def test_removals_and_shapley_follow_from_subsets(spark, sf_dir, design, subsets
     for r in catalog.QUERIES["peer_removal_full"](spark, sf_dir).collect():
         peers = [i for i in range(5) if i != r["target"]]
         less = tuple(i for i in peers if i != r["removed"])
-        want = subsets[r["split_seed"], r["target"], less]["pier"] - subsets[r["split_seed"], r["target"], tuple(peers)]["pier"]
+        want = subsets[r["split_seed"], r["target"], less]["mix_error"] - subsets[r["split_seed"], r["target"], tuple(peers)]["mix_error"]
         assert r["inflation"] == pytest.approx(want, abs=1e-12)
     shares = {}
     for r in catalog.QUERIES["shapley_coverage"](spark, sf_dir).collect():
         shares.setdefault((r["split_seed"], r["target"]), []).append(r["share"])
     for (s, t), v in shares.items():
-        whole = subsets[s, t, tuple(i for i in range(5) if i != t)]["pier"]
+        whole = subsets[s, t, tuple(i for i in range(5) if i != t)]["mix_error"]
         assert sum(v) == pytest.approx(np.abs(design[s][1][:, t]).mean() - whole, abs=1e-12)
 
 
