@@ -13,6 +13,8 @@ from .common import give_back, small_batches
 
 #: A worker's memory of words: so many bytes at most, about, and no word longer than LONGEST; then it starts anew.
 REMEMBERED_BYTES, LONGEST = 64 << 20, 96
+#: The same for each of two memories where nothing else runs beside.
+CODED_BYTES = 128 << 20
 #: Marks a word's end within the automaton; no byte maps to it.
 END = "￿"
 
@@ -82,8 +84,8 @@ class PrefixBpe:
         for text, i in self.vocab.items():
             self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.apart: dict[int, bool] = {}
+        self.whole: list[bool | None] = [None] * (max(self.text_of, default=0) + 1)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """(token, rank of the merge that takes it up) from the token itself down one edge."""
@@ -93,19 +95,18 @@ class PrefixBpe:
         return out
 
     def stays_apart(self, a: int, b: int) -> bool:
-        found = self.apart.get((a, b))
-        if found is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            left = self._spine(b, 0)
-            # Of two equal merges the left one comes first: hence < on the left side, <= on the right.
-            found = not any(r < up and r <= down for x, up in self._spine(a, 1) for y, down in left if (r := self.rank.get((x, y))) is not None)
-            self.apart[a, b] = found
+        """Whether the tokens stay apart; remembered under a << 32 | b."""
+        if len(self.apart) > 1_000_000:
+            self.apart.clear()
+        left = self._spine(b, 0)
+        # Of two equal merges the left one comes first: hence < on the left side, <= on the right.
+        found = not any(r < up and r <= down for x, up in self._spine(a, 1) for y, down in left if (r := self.rank.get((x, y))) is not None)
+        self.apart[a << 32 | b] = found
         return found
 
     def is_whole(self, token: int) -> bool:
-        """Whether merging the token's own letters gives the token."""
-        found = self.whole.get(token)
+        """Whether merging the token's own letters gives the token; remembered."""
+        found = self.whole[token]
         if found is None:
             split = self.parts.get(token)
             found = split is None or (self.is_whole(split[0]) and self.is_whole(split[1]) and self._joined(token))
@@ -126,16 +127,28 @@ class PrefixBpe:
     def encode_word(self, letters: str) -> list[int]:
         """Ids of a word that is given by its bytes' letters."""
         word = letters + END
-        last: list[tuple[int, int] | None] = [None] * (len(word) + 1)
+        n = len(word)
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        apart, whole = self.apart.get, self.whole
         for end, (token, size) in self.automaton.iter(word):
-            if last[end + 1] is None:
-                start = end + 1 - size
-                if (start == 0 or (last[start] is not None and self.stays_apart(last[start][0], token))) and self.is_whole(token):
-                    last[end + 1] = (token, start)
-        ids, at = [], len(word)
-        while at:
-            token, at = last[at]
-            ids.append(token)
+            end += 1
+            if last[end] >= 0:
+                continue
+            start = end - size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = apart(before << 32 | token)
+                if not (self.stays_apart(before, token) if fits is None else fits):
+                    continue
+            fits = whole[token]
+            if self.is_whole(token) if fits is None else fits:
+                last[end], begin[end] = token, start
+        ids = []
+        while n:
+            ids.append(last[n])
+            n = begin[n]
         return ids[::-1]
 
     def encode_chunk(self, chunk: str) -> list[int]:
@@ -151,20 +164,27 @@ class PrefixBpe:
 
 
 class Remembered(dict):
-    """chunk -> made(chunk), of bounded size. ``cost`` is the bytes of what is made, about, beside those of the entry itself."""
+    """chunk -> made(chunk), of bounded size. ``cost`` is the bytes of what is made, about, beside those of the entry itself.
+
+    Two generations of half the size each: once the young one is full it becomes the old one, out of which what is asked
+    for again is taken over, so that common words stay while rare ones come and go.
+    """
 
     def __init__(self, made, cost, most: int = REMEMBERED_BYTES):
         super().__init__()
-        self.made, self.cost, self.most, self.held = made, cost, most, 0
+        self.made, self.cost, self.most, self.held, self.old = made, cost, most // 2, 0, {}
 
     def __missing__(self, chunk: str):
-        found = self.made(chunk)
-        if len(chunk) <= LONGEST:
-            self.held += 200 + len(chunk) + self.cost(found)
-            if self.held > self.most:
-                self.clear()
-                self.held = 0
-            self[chunk] = found
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.made(chunk)
+            if len(chunk) > LONGEST:
+                return found
+        self.held += 200 + len(chunk) + self.cost(found)
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[chunk] = found
         return found
 
 
@@ -185,15 +205,27 @@ _CODERS: dict[str, tuple[PrefixBpe, Remembered]] = {}
 
 
 def coder(path: str) -> tuple[PrefixBpe, Remembered]:
-    """This worker's vocabulary, and its memory of chunks as pairs (ids, tokens) of joined text."""
+    """This worker's vocabulary, and its memory of chunks as pairs (ids, tokens) of joined text.
+
+    A chunk is made of words with their case and punctuation, of which there are more than of words, so words are remembered too.
+    """
     if path not in _CODERS:
         bpe = PrefixBpe(path)
+        cost = lambda pair: 120 + len(pair[0]) + len(pair[1])
 
-        def made(chunk: str) -> tuple[str, str]:
-            ids = bpe.encode_chunk(chunk)
+        def text_of(ids: list[int]) -> tuple[str, str]:
             return " ".join(map(str, ids)), " ".join(map(bpe.tokens.__getitem__, ids))
 
-        _CODERS[path] = bpe, Remembered(made, lambda pair: 120 + len(pair[0]) + len(pair[1]))
+        word = Remembered(lambda word: text_of(bpe.encode_word(letters_of(word))), cost, CODED_BYTES).__getitem__
+        words = bpe.words
+
+        def made(chunk: str) -> tuple[str, str]:
+            if "<" in chunk:
+                return text_of(bpe.encode_chunk(chunk))
+            pairs = list(map(word, split_words(words, chunk)))
+            return pairs[0] if len(pairs) == 1 else (" ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]))
+
+        _CODERS[path] = bpe, Remembered(made, cost, CODED_BYTES)
     return _CODERS[path]
 
 

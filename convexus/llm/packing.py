@@ -34,7 +34,7 @@ def token_bytes(path: str) -> Remembered:
             words, model = word_pattern(json.load(file)), tokenizer.model
         get = Remembered(lambda word: np.array([t.id for t in model.tokenize(letters_of(word))], "<u2").tobytes(), len).__getitem__
         whole = lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        _KNOWN[path] = Remembered(lambda chunk: whole(chunk) if "<" in chunk else b"".join(map(get, split_words(words, chunk))), len)
+        _KNOWN[path] = Remembered(lambda chunk: whole(chunk) if "<" in chunk else b"".join(map(get, split_words(words, chunk))), len, 96 << 20)
     return _KNOWN[path]
 
 
