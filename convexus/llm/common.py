@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
+import mmap
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes and rows of one batch on its way to a Python worker, at most (a longer row is a batch of its own).
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+#: Memory that a worker may hold between two blocks.
+WORKER_BYTES = 224 << 20
 #: Bytes of text in a bucket of blocks, about.
 BUCKET_BYTES = 128 << 20
 
@@ -84,9 +86,18 @@ def free_name(columns: Iterable[str], wish: str) -> str:
     return wish
 
 
-def give_back() -> None:
-    """Returns freed memory of this worker to the system."""
-    gc.collect()
+def give_back(most: int = 0) -> None:
+    """Returns freed memory of this worker to the system, if it holds more than ``most`` bytes: memory that is used again at once had better stay.
+
+    Nothing here makes cycles, so there is no garbage to look for, which would take longer than many a task.
+    """
+    if most:
+        try:
+            with open("/proc/self/statm") as file:
+                if int(file.read().split()[1]) * mmap.PAGESIZE < most:
+                    return
+        except OSError:  # no such file outside Linux
+            return
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps it otherwise
     if trim:
@@ -142,7 +153,7 @@ class Blocks:
             try:
                 return run(part.column(block)[0].as_py(), part)
             finally:
-                give_back()
+                give_back(WORKER_BYTES)
 
         return self._columns(columns).groupBy(self.block).applyInArrow(numbered, schema)
 
@@ -153,7 +164,7 @@ class Blocks:
             try:
                 return run(left, right)
             finally:
-                give_back()
+                give_back(WORKER_BYTES)
 
         return self._columns(columns).groupBy(self.block).cogroup(answers.groupBy("block")).applyInArrow(held, schema)
 

@@ -15,7 +15,7 @@ WORDS, REGISTERS, BAND = 5, 252, 7
 #: Bits of the map that spares documents without any candidate the way through a shuffle: 1 MB, whatever the input.
 MAP_BITS = 1 << 23
 #: Bytes of text and shingles that are worked on at once; bytes of sets on one side of a cell, about.
-STEP, ROUND, SIDE = 1 << 20, 1 << 19, 4 << 20
+STEP, ROUND, SIDE = 1 << 19, 1 << 18, 4 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 

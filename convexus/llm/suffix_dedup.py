@@ -38,7 +38,7 @@ _SECOND = _Powers(0x369DEA0F31A53F85, 1)
 #: the first step only costs work, one in the third is found in the fourth.
 STEPS = {"cover": (48, False), "long": (56, True), "suffix": (56, False), "confirm": (0, True)}
 #: Entries of a bucket, bytes of a block, both about, and bytes of text worked on at once.
-BUCKET, BLOCK, STEP = 1 << 20, 1 << 21, 3 << 20
+BUCKET, BLOCK, STEP = 1 << 20, 1 << 21, 1 << 18
 
 
 class Texts:
@@ -48,15 +48,6 @@ class Texts:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.sums: dict[int, np.ndarray] = {}
-
-    def before(self, s: int, length: int, powers: _Powers) -> np.ndarray:
-        """Sums before each place of the piece at ``s``; those of a block that is one piece are kept."""
-        if len(self.data) > STEP:
-            return sums_before(self.data[s : s + STEP + length], powers)
-        if powers.base not in self.sums:
-            self.sums[powers.base] = sums_before(self.data, powers)
-        return self.sums[powers.base]
 
     def fingerprints(self, at: np.ndarray, length: int, powers: _Powers = _POWERS) -> np.ndarray:
         """Of the ``length`` bytes from each of some places, which ascend; STEP bytes are worked on at a time."""
@@ -64,7 +55,7 @@ class Texts:
         for s in range(0, len(self.data), STEP):
             a, b = np.searchsorted(at, (s, s + STEP))
             if a < b:
-                total, here = self.before(s, length, powers), at[a:b] - s
+                total, here = sums_before(self.data[s : s + STEP + length], powers), at[a:b] - s
                 out[a:b] = mix((total[here + length] - total[here]) * powers.down[here])
         return out
 
@@ -305,8 +296,6 @@ def remove_repeats(docs: DataFrame, least: int = 200, text: str = "text", keep_t
             left = left.sort_by(blocks_row)
             number = left.column(block)[0].as_py()
             found, state = emit(step, Texts(as_bytes(left.column(text))), *answers(right), bits, least)
-            _POWERS.forget()
-            _SECOND.forget()
             own = pa.table([pa.array([STATE]), pa.array([number], pa.int64()), pa.array([number], pa.int64()), pa.array([state], pa.binary()), pa.array([b""], pa.binary())], names=ENTRY_NAMES)
             return pa.concat_tables([found.rows(number), own])
 
@@ -337,8 +326,6 @@ def remove_repeats(docs: DataFrame, least: int = 200, text: str = "text", keep_t
             spans.append(int(np.count_nonzero(own[1:] & ~own[:-1]) + bool(len(own) and own[0])))
             digests.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode("utf-8", "ignore") if keep_text else "")
-        _POWERS.forget()
-        _SECOND.forget()
         arrays = [pa.array(kept, pa.string()) if c == text else left.column(c) for c in columns]
         return pa.table([*arrays, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=[*columns, *names.values()])
 
