@@ -83,13 +83,13 @@ def mark_first(tokens, hashes, k, mark: str):
     """``tokens`` with the k of least hash replaced by ``mark``.
 
     ``hashes`` makes a hash of (word, place). The row's tokens are sorted by hash, cut at k and sorted back, so
-    nothing is computed once for each pair of tokens, as a lookup within a lambda would be.
+    nothing is computed twice or once for each pair of tokens, as a lookup within a lambda would be.
     """
-    n = F.size(tokens)
     order = F.array_sort(F.transform(tokens, lambda w, i: F.struct(hashes(w, i).alias("h"), i.alias("i"), w.alias("w"))))
-    marked = F.transform(F.slice(order, F.lit(1), k), lambda s: F.struct(s["i"].alias("i"), F.lit(mark).alias("w")))
-    rest = F.transform(F.slice(order, k + 1, n), lambda s: F.struct(s["i"].alias("i"), s["w"].alias("w")))
-    return F.transform(F.array_sort(F.concat(marked, rest)), lambda s: s["w"])
+    # The count goes with every element, so that it is computed once and not in the lambda.
+    pairs = F.arrays_zip(order.alias("s"), F.array_repeat(k, F.size(tokens)).alias("k"))
+    marked = F.transform(pairs, lambda p, j: F.struct(p["s"]["i"].alias("i"), F.when(j < p["k"], F.lit(mark)).otherwise(p["s"]["w"]).alias("w")))
+    return F.transform(F.array_sort(marked), lambda s: s["w"])
 
 
 def blank_words(tokens, key, share: float, seed: str):

@@ -37,20 +37,21 @@ def mse_fits(aligned: DataFrame, keys: list[str], n_models: int, subsets: bool =
 
 
 def mae_fits(aligned: DataFrame, keys: list[str], n_models: int) -> DataFrame:
-    """The absolute-loss fits: rows of a key meet in one group (questions by doses, bounded by the design), each target a linear program with its proven gap."""
+    """The absolute-loss fits, each target a linear program with its proven gap. Equal rows are one with a mass; the distinct rows of a key (questions by doses, bounded by the design) meet in one group, of about 30 doubles a row."""
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in aligned.select(*keys).schema] + ["target int", "weights array<double>", "objective double", "duality_gap double"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["x"].to_list())
-        x = x[np.lexsort(x.T)]
+        x, m = np.stack(pdf["x"].to_list()), pdf["m"].to_numpy(np.float64)
+        order = np.lexsort(x.T)
+        x, m = x[order], m[order]
         rows = []
         for t in range(n_models):
             peers = [i for i in range(n_models) if i != t]
-            w, gap = solvers.simplex_l1(x[:, peers], x[:, t], np.ones(len(x)))
-            rows.append([*pdf[keys].iloc[0], t, w.tolist(), float(np.abs(x[:, t] - x[:, peers] @ w).mean()), gap])
+            w, gap = solvers.simplex_l1(x[:, peers], x[:, t], m)
+            rows.append([*pdf[keys].iloc[0], t, w.tolist(), float(m @ np.abs(x[:, t] - x[:, peers] @ w) / m.sum()), gap])
         return pd.DataFrame(rows, columns=[*keys, "target", "weights", "objective", "duality_gap"])
 
-    return aligned.select(*keys, "x").groupBy(*keys).applyInPandas(solve, schema)
+    return aligned.groupBy(*keys, "x").agg(F.count("*").alias("m")).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def evaluate(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,9 +7,10 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ecosystem, gram, splits
+from . import ecosystem, gram, medians, splits
 
 SEEDS = [20260828, 20260829, 20260830]
+N_FITS = 30 * len(SEEDS)
 TRIPLES = [(t, a, b) for t in range(5) for a in range(5) for b in range(a + 1, 5) if t not in (a, b)]
 
 
@@ -69,6 +70,6 @@ def pair_residuals(spark, sf_dir: str, *extra: str, fit_when=None) -> DataFrame:
     """All rows of both sides with every pair's weight and residual; fits see only the fitting side (and ``fit_when``)."""
     rows = aligned_splits(spark, sf_dir, *extra)
     fits = pair_fits(rows.where(F.col("side") == "fit").where(fit_when if fit_when is not None else F.lit(True)), ["split_seed"])
-    joined = rows.join(F.broadcast(fits), "split_seed")  # 30 fits for each seed
+    joined = rows.join(medians.small(fits, N_FITS), "split_seed")
     guess = F.col("wa") * F.get("x", F.col("a")) + (1 - F.col("wa")) * F.get("x", F.col("b"))
     return joined.withColumn("res", F.get("x", F.col("t")) - guess)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ecosystem, splits
-from ..operators.pairs import SEEDS, aligned_splits, pair_fits, pair_residuals
+from ..operators import ecosystem, medians, splits
+from ..operators.pairs import N_FITS, SEEDS, aligned_splits, pair_fits, pair_residuals
 from ..registry import query
 from ..sources.tables import table
 from . import oracle
@@ -240,7 +240,7 @@ def estimand_decomposition(spark, sf_dir):
     mean = F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(5)])
     each = pair_fits(fit, ["split_seed"]).withColumnRenamed("wa", "wt")
     whole = pair_fits(fit.groupBy("split_seed", "question", "category", "dose").agg(mean.alias("x")), ["split_seed"]).withColumnRenamed("wa", "wg")
-    joined = rows.where("side = 'eval'").join(F.broadcast(each.join(whole, PAIR)), "split_seed")
+    joined = rows.where("side = 'eval'").join(medians.small(each.join(whole, PAIR), N_FITS), "split_seed")
     res = lambda w: F.get("x", F.col("t")) - F.col(w) * F.get("x", F.col("a")) - (1 - F.col(w)) * F.get("x", F.col("b"))
     k = joined.groupBy(*PAIR, "question", "dose").agg(F.avg(F.abs(res("wt"))).alias("tt"), F.abs(F.avg(res("wt"))).alias("ta"), F.avg(F.abs(res("wg"))).alias("at"), F.abs(F.avg(res("wg"))).alias("aa"))
     m = k.groupBy(*PAIR).agg(*[F.avg(c).alias(c) for c in ("aa", "at", "ta", "tt")])
@@ -256,7 +256,7 @@ def design_transfer(spark, sf_dir):
     """Weights of low doses judged at high doses, against weights fitted there."""
     rows = pair_residuals(spark, sf_dir, fit_when=F.col("dose") <= 2)
     own = pair_fits(aligned_splits(spark, sf_dir).where("side = 'fit' AND dose >= 4"), ["split_seed"]).withColumnRenamed("wa", "wh")
-    j = rows.where("side = 'eval' AND dose >= 4").join(F.broadcast(own), PAIR)
+    j = rows.where("side = 'eval' AND dose >= 4").join(medians.small(own, N_FITS), PAIR)
     there = F.avg(F.abs(F.get("x", F.col("t")) - F.col("wh") * F.get("x", F.col("a")) - (1 - F.col("wh")) * F.get("x", F.col("b"))))
     here = F.avg(F.abs("res"))
     return j.groupBy(*PAIR).agg(R9(here).alias("transferred"), R9(there).alias("native"), (R9(here - there) + 0.0).alias("penalty"), R9(2 * F.abs(F.first("wa") - F.first("wh"))).alias("weight_change"))
@@ -300,12 +300,10 @@ def mae_p2(spark, sf_dir):
     r = pair_residuals(spark, sf_dir)
     y, a, b = (F.get("x", F.col(c)) for c in ("t", "a", "b"))
     q = r.where("side = 'fit'").select(*PAIR, "question", "dose", ((y - b) / F.nullif(a - b, F.lit(0.0))).alias("v"), F.abs(a - b).alias("m")).where("v IS NOT NULL")
-    w = Window.partitionBy(*PAIR)
-    upto = F.sum("m").over(w.orderBy("v", "question", "dose").rowsBetween(Window.unboundedPreceding, 0))
-    z = q.withColumn("upto", upto).withColumn("whole", F.sum("m").over(w)).groupBy(*PAIR).agg(F.least(F.greatest(F.min(F.when(F.col("upto") >= F.col("whole") / 2, F.col("v"))), F.lit(0.0)), F.lit(1.0)).alias("wl"))
+    z = medians.weighted_medians(q, PAIR, "v", "m", "wl")
     off = F.abs(y - F.col("wl") * a - (1 - F.col("wl")) * b)
     on = lambda s: R9(F.avg(F.when(F.col("side") == s, off)))
-    return r.join(F.broadcast(z), PAIR).groupBy(*PAIR).agg(R9(F.first("wl")).alias("wa"), on("fit").alias("fit_mae"), on("eval").alias("eval_mae"))
+    return r.join(medians.small(z, N_FITS), PAIR).groupBy(*PAIR).agg(R9(F.first("wl")).alias("wa"), on("fit").alias("fit_mae"), on("eval").alias("eval_mae"))
 
 
 @query("residual_mass_curve", "WITH " + oracle.residuals() + """, o AS (SELECT question, dose, round(abs(res), 12) AS v FROM r WHERE side = 'eval' AND split_seed = 20260828 AND t = 2 AND a = 1 AND b = 3),

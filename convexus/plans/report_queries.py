@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..functions.hashing import stable_key
-from ..operators import ecosystem, resample, solvers
+from ..operators import ecosystem, medians, resample, solvers
 from ..operators.pairs import TRIPLES, aligned_splits, pair_fits, pair_residuals, place
 from ..registry import query
 from ..sources.tables import table
@@ -177,21 +177,13 @@ def nan_to_null(spark, sf_dir):
 v AS (SELECT q, i, (y - b) / (a - b) AS v, abs(a - b) AS m FROM u WHERE a <> b), c AS (SELECT *, sum(m) OVER (ORDER BY v, q, i) AS upto, sum(m) OVER () AS whole FROM v), w AS (SELECT least(greatest(min(v) FILTER (upto >= whole / 2), 0), 1) AS w FROM c)
 SELECT round(w, 9) AS weight, round(sum(0.5 * abs(y - w * a - (1 - w) * b)) / count(DISTINCT q), 9) AS mean_tv, count(DISTINCT q) AS n FROM u, w GROUP BY w""")
 def tv_p2(spark, sf_dir):
-    """The mixture of two peers' vectors nearest in total variation: a weighted median over all options of all questions, by cumulative sums of partition totals."""
+    """The mixture of two peers' vectors nearest in total variation: a weighted median over all options of all questions, found bin by bin."""
     rows = logits(spark, sf_dir).select(F.floor(F.col("vec_id") / 5).alias("q"), (F.col("vec_id") % 5).alias("k"), vectors.softmax(F.col("z")).alias("p"))
     one = lambda k: F.max(F.when(F.col("k") == k, F.col("p")))
     wide = rows.groupBy("q").agg(one(0).alias("y"), one(1).alias("a"), one(2).alias("b"), F.countDistinct("k").alias("n")).where("n = 5")
     u = wide.select("q", F.posexplode(F.arrays_zip("y", "a", "b")).alias("i", "e")).select("q", "i", "e.*")
     v = u.where("a <> b").select("q", "i", ((F.col("y") - F.col("b")) / (F.col("a") - F.col("b"))).alias("v"), F.abs(F.col("a") - F.col("b")).alias("m"))
-    # Values fall in 4,096 bins of [0, 1] and beyond; only the bin with the median is sorted.
-    v = v.withColumn("bin", F.least(F.greatest(F.floor(F.col("v") * 4096), F.lit(-1)), F.lit(4096)))
-    bins = v.groupBy("bin").agg(F.sum("m").alias("m"))  # 4,098 rows at most
-    w_all = Window.partitionBy(F.lit(0)).orderBy("bin")
-    bins = bins.select("bin", "m", (F.sum("m").over(w_all) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy(F.lit(0))).alias("whole"))
-    hit = bins.where("before < whole / 2").groupBy().agg(F.max_by(F.struct("bin", "before", "whole"), "bin").alias("h"))
-    near = v.join(F.broadcast(hit), v["bin"] == F.col("h.bin")).select("q", "i", "v", "m", "h.before", "h.whole")
-    upto = F.sum("m").over(Window.partitionBy("whole").orderBy("v", "q", "i").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    w = near.withColumn("upto", upto).where(F.col("upto") >= F.col("whole") / 2).agg(F.least(F.greatest(F.min("v"), F.lit(0.0)), F.lit(1.0)).alias("w"))
+    w = medians.weighted_medians(v.withColumn("one", F.lit(1)), ["one"], "v", "m", "w").select("w")
     off = 0.5 * F.abs(F.col("y") - F.col("w") * F.col("a") - (1 - F.col("w")) * F.col("b"))
     return u.crossJoin(F.broadcast(w)).groupBy("w").agg(R9(F.first("w")).alias("weight"), R9(F.sum(off) / F.countDistinct("q")).alias("mean_tv"), F.countDistinct("q").alias("n")).drop("w")  # one row
 

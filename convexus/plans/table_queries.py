@@ -102,7 +102,7 @@ def nearest_within_tolerance(spark, sf_dir):
     """The least value's rows within a tolerance, and of these the first."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
     best = p.groupBy("p_brand").agg(F.min("p_retailprice").alias("best"))
-    return p.join(F.broadcast(best), "p_brand").where("p_retailprice <= best + 1.0").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n_tied"))  # one row per brand
+    return p.join(best, "p_brand").where("p_retailprice <= best + 1.0").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n_tied"))
 
 
 @query("lowest_and_highest", """(SELECT 'low' AS side, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 6) UNION ALL (SELECT 'high', o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3)""")
@@ -112,9 +112,11 @@ def lowest_and_highest(spark, sf_dir):
     return o.orderBy("o_totalprice", "o_orderkey").limit(6).select(F.lit("low").alias("side"), "*").unionByName(o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3).select(F.lit("high").alias("side"), "*"))
 
 
-@query("last_per_group", """SELECT o_custkey, max(o_orderdate)::TIMESTAMP AS o_orderdate, count(*) AS n FROM orders GROUP BY o_custkey""")
+@query("last_per_group", """SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice, count(*) AS n FROM orders GROUP BY o_custkey""")
 def last_per_group(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").cast("timestamp").alias("o_orderdate"), F.count("*").alias("n"))
+    """Each customer's last order, by date and key: one aggregation, no window."""
+    last = F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("last")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(last, F.count("*").alias("n")).select("o_custkey", "last.o_orderkey", "last.o_totalprice", "n")
 
 
 @query("dose_grouping_sets", """SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'overall' WHEN grouping(l_linestatus) = 1 THEN 'flag' ELSE 'cell' END AS scope, l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 9) AS mean FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
