@@ -9,9 +9,17 @@ def total(values, f=lambda x: x):
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + f(x))
 
 
+def let(value, f):
+    """``f`` of a value that is computed once, however often ``f`` uses it: lambdas evaluate what they close over for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def normalized(values):
+    return let(values, lambda v: let(total(v), lambda s: F.transform(v, lambda x: x / s)))
+
+
 def softmax(logits, temperature: float = 1.0):
-    e = F.transform(logits, lambda x: F.exp((x - F.array_max(logits)) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    return normalized(let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp((x - top) / temperature))))
 
 
 def scatter(values, mapping):
@@ -47,8 +55,7 @@ def entropy(p):
 
 
 def clip_renormalize(p, least: float = 1e-15):
-    c = F.transform(p, lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(least)))
-    return F.transform(c, lambda x: x / total(c))
+    return normalized(F.transform(p, lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(least))))
 
 
 def dot(a, b):
@@ -83,7 +90,9 @@ def is_probability(p, size, tolerance: float = 1e-9):
 
 def simplex_projection(values):
     """Euclidean projection onto the probability simplex, by sorted cumulative sums."""
-    ordered = F.sort_array(values, asc=False)
-    sums = F.transform(F.sequence(F.lit(1), F.size(values)), lambda k: total(F.slice(ordered, F.lit(1), k)))
-    theta = F.array_max(F.zip_with(sums, F.sequence(F.lit(1), F.size(values)), lambda s, k: (s - 1) / k))
-    return F.transform(values, lambda x: F.greatest(x - theta, F.lit(0.0)))
+    def threshold(ordered):
+        sums = F.transform(F.sequence(F.lit(1), F.size(ordered)), lambda k: total(F.slice(ordered, F.lit(1), k)))
+        return F.array_max(F.zip_with(sums, F.sequence(F.lit(1), F.size(ordered)), lambda s, k: (s - 1) / k))
+
+    theta = let(F.sort_array(values, asc=False), threshold)
+    return let(theta, lambda t: F.transform(values, lambda x: F.greatest(x - t, F.lit(0.0))))

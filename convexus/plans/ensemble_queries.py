@@ -18,7 +18,7 @@ from .coverage_queries import R9
 from .vector_queries import LOGITS, SOFT, logits
 
 #: Models are ids modulo 5, questions the quotient modulo 40: every vector of the table is in the mean of its cell.
-CELLS = SOFT + """, ve AS (SELECT (vec_id % 5)::INTEGER AS m, vec_id // 5 % 40 AS q, i::INTEGER AS i, avg(p[i]) AS v, avg(z[i]) AS zv FROM p, range(1, 9) r(i) GROUP BY ALL),
+CELLS = SOFT + """, ve AS (SELECT (vec_id % 5)::INTEGER AS m, vec_id // 5 % 40 AS q, i::INTEGER AS i, avg(p[i]) AS v, avg(z[i]) AS zv FROM p, range(1, 65) r(i) GROUP BY ALL),
 vw AS (SELECT q, i, CASE WHEN q % 2 = 0 THEN 'fit' ELSE 'eval' END AS side, [max(v) FILTER (m = 0), max(v) FILTER (m = 1), max(v) FILTER (m = 2), max(v) FILTER (m = 3), max(v) FILTER (m = 4)] AS x FROM ve GROUP BY q, i HAVING count(*) = 5),
 tri AS (SELECT t::INTEGER AS t, a::INTEGER AS a, b::INTEGER AS b FROM range(5) q(t), range(5) r(a), range(5) u(b) WHERE a < b AND t <> a AND t <> b)"""
 
@@ -30,7 +30,7 @@ def vector_fit_sql(name: str, where: str = "true") -> str:
 def mean_vectors(spark, sf_dir):
     """m, q, p, z: the mean probability vector and mean logits of each model and question."""
     rows = logits(spark, sf_dir).select((F.col("vec_id") % 5).cast("int").alias("m"), (F.floor(F.col("vec_id") / 5) % 40).alias("q"), "z", vectors.softmax(F.col("z")).alias("p"))
-    mean = lambda c: F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(8)])
+    mean = lambda c: F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(64)])
     return staged(spark, ("mean_vectors", sf_dir), lambda: rows.groupBy("m", "q").agg(mean("p").alias("p"), mean("z").alias("z")))
 
 
@@ -81,13 +81,13 @@ def vector_selected_peer(spark, sf_dir):
     return e.groupBy("t").agg(F.min_by("p", order).alias("peer"), R9(F.min("fit_tv")).alias("fit_tv"), R9(F.min_by("eval_tv", order)).alias("eval_tv"))
 
 
-@query("fixed_vector_weights", "WITH " + CELLS + ", " + vector_fit_sql("f", "i = q % 8 + 1") + """,
+@query("fixed_vector_weights", "WITH " + CELLS + ", " + vector_fit_sql("f", "i = q % 64 + 1") + """,
 g AS (SELECT t, a, b, q, 0.5 * sum(abs(x[t + 1] - w * x[a + 1] - (1 - w) * x[b + 1])) AS tv, arg_max(i, (round(x[t + 1], 9), -i)) = arg_max(i, (round(w * x[a + 1] + (1 - w) * x[b + 1], 9), -i)) AS same FROM vw, f WHERE side = 'eval' GROUP BY ALL)
 SELECT t, a, b, round(avg(tv), 9) AS mean_tv, round(avg(same::INTEGER), 9) AS top_agreement FROM g GROUP BY ALL""")
 def fixed_vector_weights(spark, sf_dir):
     """Weights fitted to the gold option alone, held fixed on whole vectors: total variation and agreement of the top option (ties to the first)."""
     rows = vector_wide(spark, sf_dir)
-    fits = fit_vectors(rows.where("i = q % 8 + 1"))
+    fits = fit_vectors(rows.where("i = q % 64 + 1"))
     j = rows.where("side = 'eval'").crossJoin(F.broadcast(fits))  # 30 fits
     y, guess = F.get("x", F.col("t")), F.get("x", F.col("t")) - off(F.col("w"))
     top = lambda v: F.max_by("i", F.struct(R9(v), -F.col("i")))
@@ -95,14 +95,14 @@ def fixed_vector_weights(spark, sf_dir):
     return g.groupBy("t", "a", "b").agg(R9(F.avg("tv")).alias("mean_tv"), R9(F.avg(F.col("same").cast("int"))).alias("top_agreement"))
 
 
-@query("vector_sensitivity", "WITH " + CELLS + ", " + vector_fit_sql("f") + ", " + vector_fit_sql("s", "i = q % 8 + 1") + f""",
+@query("vector_sensitivity", "WITH " + CELLS + ", " + vector_fit_sql("f") + ", " + vector_fit_sql("s", "i = q % 64 + 1") + f""",
 v AS (SELECT t, a, b, any_value(w) AS w, avg(tv) AS tv FROM {tv_sql('f')} GROUP BY t, a, b), u AS (SELECT t, a, b, any_value(w) AS w, avg(tv) AS tv FROM {tv_sql('s')} GROUP BY t, a, b)
 SELECT t, a, b, round(v.w, 9) AS vector_weight, round(u.w, 9) AS scalar_weight, round(u.tv - v.tv, 9) AS tv_difference, sign(round(v.w - 0.5, 9)) = sign(round(u.w - 0.5, 9)) AS same_direction FROM v JOIN u USING (t, a, b)""")
 def vector_sensitivity(spark, sf_dir):
     """Weights fitted to vectors against weights fitted to the gold option: both judged on vectors, and whether they favour the same peer."""
     rows = vector_wide(spark, sf_dir)
     mean = lambda fits, w, tv: judged(rows, fits).groupBy("t", "a", "b").agg(F.first("w").alias(w), F.avg("tv").alias(tv))
-    j = checks.merge(mean(fit_vectors(rows), "v", "tv_v"), mean(fit_vectors(rows.where("i = q % 8 + 1")), "s", "tv_s"), ["t", "a", "b"], "1:1")
+    j = checks.merge(mean(fit_vectors(rows), "v", "tv_v"), mean(fit_vectors(rows.where("i = q % 64 + 1")), "s", "tv_s"), ["t", "a", "b"], "1:1")
     side = lambda c: F.signum(R9(F.col(c) - 0.5))
     return j.select("t", "a", "b", R9("v").alias("vector_weight"), R9("s").alias("scalar_weight"), R9(F.col("tv_s") - F.col("tv_v")).alias("tv_difference"), (side("v") == side("s")).alias("same_direction"))
 
@@ -114,13 +114,13 @@ def custom_aggregates(spark, sf_dir):
     return w.groupBy("i").agg(R9(F.max("reach")).alias("max_reach"), R9(F.avg("reach")).alias("mean_reach"), R9(F.avg("mean")).alias("mean"))
 
 
-ROTATIONS = SOFT + """, v AS (SELECT vec_id, r::INTEGER AS rotation, s::INTEGER AS visible, p[((s + r) % 8 + 1)::INTEGER] AS p, ((s + r) % 8)::INTEGER AS semantic FROM p, range(0, 4) q(r), range(0, 8) t(s))"""
+ROTATIONS = SOFT + """, v AS (SELECT vec_id, r::INTEGER AS rotation, s::INTEGER AS visible, p[((s + r) % 64 + 1)::INTEGER] AS p, ((s + r) % 64)::INTEGER AS semantic FROM p, range(0, 4) q(r), range(0, 64) t(s))"""
 
 
 def rotations(spark, sf_dir):
     """vec_id, rotation, visible: the vector as shown under each of four rotations."""
     p = logits(spark, sf_dir).select("vec_id", "label", vectors.softmax(F.col("z")).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("rotation"))
-    shown = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda s: F.get("p", (s + F.col("rotation")) % 8))
+    shown = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda s: F.get("p", (s + F.col("rotation")) % 64))
     return p.select("vec_id", "label", "rotation", shown.alias("visible"))
 
 
@@ -130,7 +130,7 @@ def rotation_manifest_join(spark, sf_dir):
     rows = rotations(spark, sf_dir)
     manifest = logits(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("rotation")).withColumn("prompt_id", stable_key(F.col("vec_id").cast("string"), F.col("rotation").cast("string")))
     top = vectors.argmax(F.transform("visible", lambda x: F.round(x, 9)))
-    return checks.merge(rows, manifest, ["vec_id", "rotation"], "m:1").select("vec_id", "rotation", "prompt_id", R9(F.array_max("visible")).alias("top"), ((top + F.col("rotation")) % 8).cast("int").alias("answer"))
+    return checks.merge(rows, manifest, ["vec_id", "rotation"], "m:1").select("vec_id", "rotation", "prompt_id", R9(F.array_max("visible")).alias("top"), ((top + F.col("rotation")) % 64).cast("int").alias("answer"))
 
 
 @query("rotation_reconstruction", "WITH " + ROTATIONS + ", " + "b AS (SELECT v.vec_id, v.rotation, max(abs(v.p - p.p[v.semantic + 1])) AS gap FROM v JOIN p ON p.vec_id = v.vec_id GROUP BY ALL) SELECT rotation, count(*) AS n_rows, count(*) FILTER (gap > 1e-12) AS n_bad FROM b GROUP BY rotation")
@@ -138,19 +138,19 @@ def rotation_reconstruction(spark, sf_dir):
     """Shown vectors mapped back by the cyclic rule, stored and new rotations together, against the vectors themselves."""
     rows = rotations(spark, sf_dir)
     both = rows.where("rotation = 0").unionByName(rows.where("rotation > 0"))
-    back = vectors.scatter(F.col("visible"), vectors.cyclic(F.lit(8), F.col("rotation")))
+    back = vectors.scatter(F.col("visible"), vectors.cyclic(F.lit(64), F.col("rotation")))
     known = logits(spark, sf_dir).select("vec_id", vectors.softmax(F.col("z")).alias("p"))
     gap = F.array_max(F.zip_with("back", "p", lambda x, y: F.abs(x - y)))
     j = both.select("vec_id", "rotation", back.alias("back")).join(known, "vec_id").select("rotation", gap.alias("gap"))
     return j.groupBy("rotation").agg(F.count("*").alias("n_rows"), F.sum((F.col("gap") > 1e-12).cast("long")).alias("n_bad"))
 
 
-@query("rotation_zero_reuse", "WITH " + SOFT + " SELECT vec_id, 0 AS rotation, round(p[label % 8 + 1], 9) AS gold FROM p WHERE vec_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+@query("rotation_zero_reuse", "WITH " + SOFT + " SELECT vec_id, 0 AS rotation, round(p[label % 64 + 1], 9) AS gold FROM p WHERE vec_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def rotation_zero_reuse(spark, sf_dir):
     """Stored vectors that a manifest names, in the columns of new rotations: a semi-join."""
     manifest = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")).distinct()
     p = logits(spark, sf_dir).join(manifest, "vec_id", "left_semi")
-    return p.select("vec_id", F.lit(0).alias("rotation"), R9(F.get(vectors.softmax(F.col("z")), F.col("label") % 8)).alias("gold"))
+    return p.select("vec_id", F.lit(0).alias("rotation"), R9(F.get(vectors.softmax(F.col("z")), F.col("label") % 64)).alias("gold"))
 
 
 @query("rotation_sensitivity_table", "WITH " + ROTATIONS + """, u AS (SELECT v.vec_id % 5 AS m, v.rotation, 0.5 * sum(abs(v.p - p.p[v.visible + 1])) AS tv FROM v JOIN p ON p.vec_id = v.vec_id GROUP BY v.vec_id, v.rotation)
@@ -166,17 +166,17 @@ def rotation_sensitivity_table(spark, sf_dir):
 def seed_audit(spark, sf_dir):
     """Cells that differ between a vector's rotations once these are mapped back: none, as a rotation only moves options."""
     rows = rotations(spark, sf_dir).select("vec_id", "rotation", F.posexplode("visible").alias("place", "p"))
-    a = rows.groupBy("vec_id", ((F.col("place") + F.col("rotation")) % 8).alias("semantic")).agg((F.max("p") - F.min("p")).alias("reach"))
+    a = rows.groupBy("vec_id", ((F.col("place") + F.col("rotation")) % 64).alias("semantic")).agg((F.max("p") - F.min("p")).alias("reach"))
     return a.groupBy((F.col("vec_id") % 5).alias("m")).agg(F.count("*").alias("n_cells"), F.sum((F.col("reach") > 1e-12).cast("long")).alias("n_changed"))
 
 
-@query("dense_cache_gate", "WITH " + CELLS + """, x AS (SELECT m, q, i FROM ve UNION ALL SELECT m, q, i FROM ve WHERE q = 7 AND m = 2), g AS (SELECT m, q, i FROM (SELECT DISTINCT m FROM ve), range(41) r(q), range(1, 9) s(i)),
+@query("dense_cache_gate", "WITH " + CELLS + """, x AS (SELECT m, q, i FROM ve UNION ALL SELECT m, q, i FROM ve WHERE q = 7 AND m = 2), g AS (SELECT m, q, i FROM (SELECT DISTINCT m FROM ve), range(41) r(q), range(1, 65) s(i)),
 n AS (SELECT m, q, i, count(*) AS n FROM x GROUP BY ALL) SELECT g.m, count(*) FILTER (n.n IS NULL) AS n_missing, count(*) FILTER (n.n > 1) AS n_repeated FROM g LEFT JOIN n USING (m, q, i) GROUP BY g.m""")
 def dense_cache_gate(spark, sf_dir):
     """Cells of an expected grid that a long cache lacks or has twice: one question too many is expected, and one model's question 7 is given twice."""
-    seen = mean_vectors(spark, sf_dir).select("m", "q", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("i"))
+    seen = mean_vectors(spark, sf_dir).select("m", "q", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
     seen = seen.unionByName(seen.where("q = 7 AND m = 2"))
-    grid = seen.select("m").distinct().crossJoin(F.broadcast(spark.range(41).withColumnRenamed("id", "q"))).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(8))))  # 41 rows
+    grid = seen.select("m").distinct().crossJoin(F.broadcast(spark.range(41).withColumnRenamed("id", "q"))).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(64))))  # 41 rows
     gaps = checks.grid_gaps(seen, grid, ["m", "q", "i"]).unionByName(grid.select("m", F.lit(None).cast("long").alias("q"), F.lit(None).cast("int").alias("i"), F.lit(1).alias("n")).distinct())
     return gaps.groupBy("m").agg(F.sum((F.col("n") == 0).cast("long")).alias("n_missing"), F.sum((F.col("n") > 1).cast("long")).alias("n_repeated"))
 
@@ -185,30 +185,30 @@ def dense_cache_gate(spark, sf_dir):
 def score_assembly(spark, sf_dir):
     """Rows, repeats and invalid vectors of each model's scores, and whether it has as many as the fullest."""
     p = logits(spark, sf_dir).select("vec_id", (F.col("vec_id") % 5).alias("m"), vectors.softmax(F.col("z")).alias("p"))
-    s = p.groupBy("m").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("d"), F.sum((~vectors.is_probability(F.col("p"), 8)).cast("long")).alias("n_invalid"))
+    s = p.groupBy("m").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("d"), F.sum((~vectors.is_probability(F.col("p"), 64)).cast("long")).alias("n_invalid"))
     most = s.agg(F.max("n").alias("most"))
     return s.crossJoin(F.broadcast(most)).select("m", "n", (F.col("n") - F.col("d")).alias("n_repeated"), "n_invalid", (F.col("n") == F.col("most")).alias("complete"))  # one row
 
 
-@query("clean_accuracy", "WITH " + LOGITS + " SELECT vec_id % 5 AS m, round(avg((list_position(z, list_max(z)) - 1 = label % 8)::INTEGER), 9) AS accuracy, count(*) AS n FROM z WHERE label IS NOT NULL GROUP BY ALL")
+@query("clean_accuracy", "WITH " + LOGITS + " SELECT vec_id % 5 AS m, round(avg((list_position(z, list_max(z)) - 1 = label % 64)::INTEGER), 9) AS accuracy, count(*) AS n FROM z WHERE label IS NOT NULL GROUP BY ALL")
 def clean_accuracy(spark, sf_dir):
-    rows = logits(spark, sf_dir).where("label IS NOT NULL").select((F.col("vec_id") % 5).alias("m"), (vectors.argmax(F.col("z")) == F.col("label") % 8).cast("int").alias("right"))
+    rows = logits(spark, sf_dir).where("label IS NOT NULL").select((F.col("vec_id") % 5).alias("m"), (vectors.argmax(F.col("z")) == F.col("label") % 64).cast("int").alias("right"))
     return rows.groupBy("m").agg(R9(F.avg("right")).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("option_validity_mask", "WITH z AS (SELECT vec_id, (3 + vec_id % 6)::INTEGER AS n, list_transform(embedding[1:8], lambda x: x::DOUBLE)[1:(3 + vec_id % 6)] AS z FROM embeddings WHERE embedding IS NOT NULL), e AS (SELECT vec_id, n, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z) SELECT vec_id, n, round(list_max(e) / list_sum(e), 9) AS top, len(e)::INTEGER AS n_valid FROM e")
+@query("option_validity_mask", "WITH z AS (SELECT vec_id, (3 + vec_id % 6)::INTEGER AS n, list_transform(embedding, lambda x: x::DOUBLE)[1:(3 + vec_id % 6)] AS z FROM embeddings WHERE embedding IS NOT NULL), e AS (SELECT vec_id, n, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z) SELECT vec_id, n, round(list_max(e) / list_sum(e), 9) AS top, len(e)::INTEGER AS n_valid FROM e")
 def option_validity_mask(spark, sf_dir):
     """Ragged questions padded to eight options: a mask leaves the padding out of the softmax."""
     n = (3 + F.col("vec_id") % 6).cast("int")
-    rows = logits(spark, sf_dir).select("vec_id", n.alias("n"), "z", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i < n).alias("mask"))
+    rows = logits(spark, sf_dir).select("vec_id", n.alias("n"), "z", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i < n).alias("mask"))
     kept = F.transform(F.filter(F.arrays_zip("z", "mask"), lambda s: s["mask"]), lambda s: s["z"])
     p = rows.select("vec_id", "n", "mask", vectors.softmax(kept).alias("p"))
     return p.select("vec_id", "n", R9(F.array_max("p")).alias("top"), F.size(F.filter("mask", lambda m: m)).alias("n_valid"))
 
 
 GRID = "grid AS (SELECT k::INTEGER AS k, exp(-2.5 + 0.25 * k) AS temp FROM range(21) g(k))"
-TEMPERED = LOGITS.replace("z AS (", "z0 AS (") + """, c0 AS (SELECT vec_id % 5 AS m, i, avg(z[i]) AS c FROM z0, range(1, 9) r(i) GROUP BY ALL), c1 AS (SELECT m, list(c ORDER BY i) AS c, avg(c) AS mean FROM c0 GROUP BY m),
-z AS (SELECT vec_id, vec_id % 5 AS m, label % 8 AS gold, vec_id // 5 % 2 AS side, z, list_transform(range(1, 9), lambda i: z[i] - c[i] + mean) AS zb FROM z0 JOIN c1 ON m = vec_id % 5 WHERE label IS NOT NULL), """ + GRID + """,
+TEMPERED = LOGITS.replace("z AS (", "z0 AS (") + """, c0 AS (SELECT vec_id % 5 AS m, i, avg(z[i]) AS c FROM z0, range(1, 65) r(i) GROUP BY ALL), c1 AS (SELECT m, list(c ORDER BY i) AS c, avg(c) AS mean FROM c0 GROUP BY m),
+z AS (SELECT vec_id, vec_id % 5 AS m, label % 64 AS gold, vec_id // 5 % 2 AS side, z, list_transform(range(1, 65), lambda i: z[i] - c[i] + mean) AS zb FROM z0 JOIN c1 ON m = vec_id % 5 WHERE label IS NOT NULL), """ + GRID + """,
 l AS (SELECT m, k, temp, avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / temp)))) - (z[gold + 1] - list_max(z)) / temp) FILTER (side = 0) AS raw,
   avg(ln(list_sum(list_transform(zb, lambda x: exp((x - list_max(zb)) / temp)))) - (zb[gold + 1] - list_max(zb)) / temp) FILTER (side = 0) AS freed, avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / temp)))) - (z[gold + 1] - list_max(z)) / temp) FILTER (side = 1) AS held FROM z, grid GROUP BY ALL)"""
 SCALE = [-2.5 + 0.25 * k for k in range(21)]
@@ -216,9 +216,9 @@ SCALE = [-2.5 + 0.25 * k for k in range(21)]
 
 def tempered(spark, sf_dir):
     """m, k, temp, raw, freed, held: the mean negative log-likelihood of the gold option at each temperature of a grid, of raw logits, of logits without each model's mean by place, and of raw ones on the other half."""
-    rows = logits(spark, sf_dir).where("label IS NOT NULL").select((F.col("vec_id") % 5).alias("m"), (F.col("label") % 8).alias("gold"), (F.floor(F.col("vec_id") / 5) % 2).alias("side"), "z")
-    means = logits(spark, sf_dir).groupBy((F.col("vec_id") % 5).alias("m")).agg(F.array(*[F.avg(F.get("z", F.lit(i))) for i in range(8)]).alias("c"))
-    rows = rows.join(F.broadcast(means), "m").withColumn("zb", F.zip_with("z", "c", lambda z, c: z - c + vectors.total(F.col("c")) / 8))  # 5 rows
+    rows = logits(spark, sf_dir).where("label IS NOT NULL").select((F.col("vec_id") % 5).alias("m"), (F.col("label") % 64).alias("gold"), (F.floor(F.col("vec_id") / 5) % 2).alias("side"), "z")
+    means = logits(spark, sf_dir).groupBy((F.col("vec_id") % 5).alias("m")).agg(F.array(*[F.avg(F.get("z", F.lit(i))) for i in range(64)]).alias("c"))
+    rows = rows.join(F.broadcast(means), "m").withColumn("zb", F.zip_with("z", "c", lambda z, c: z - c + vectors.total(F.col("c")) / 64))  # 5 rows
     temps = F.array(*[F.struct(F.lit(k).alias("k"), F.exp(F.lit(s)).alias("temp")) for k, s in enumerate(SCALE)])
     rows = rows.select("*", F.explode(temps).alias("t"))
 
@@ -254,7 +254,7 @@ SELECT t, a, b, round(raw, 9) AS raw, round(corrected, 9) AS corrected, round(w,
 def interface_sensitivity(spark, sf_dir):
     """Fits of responses freed of each model's mean by place, against fits of raw ones."""
     cells = mean_vectors(spark, sf_dir)
-    bias = cells.groupBy("m").agg(F.array(*[F.avg(F.get("p", F.lit(i))) for i in range(8)]).alias("b"))
+    bias = cells.groupBy("m").agg(F.array(*[F.avg(F.get("p", F.lit(i))) for i in range(64)]).alias("b"))
     freed = cells.join(F.broadcast(bias), "m").select("m", "q", F.zip_with("p", "b", lambda p, b: p - b).alias("p"))  # 5 rows
     raw, corrected = vector_wide(spark, sf_dir), vector_wide(spark, sf_dir, freed)
 
@@ -286,12 +286,12 @@ def alignment_subsets(spark, sf_dir):
     return j.select("t", "whole", "restricted", "aligned", F.rank().over(one.orderBy("whole")).alias("place_whole"), F.rank().over(one.orderBy("restricted")).alias("place_restricted"))
 
 
-@query("scale_noise_response", "WITH " + LOGITS + """, y AS (SELECT vec_id, theta, list_sum(list_transform(range(1, 9), lambda i: z[i] * theta * i / 8)) + ('0x' || sha256(concat_ws(chr(31), '17', vec_id::VARCHAR))[1:7])::BIGINT / 268435456.0 - 0.5 AS y FROM z, (VALUES (0.0::DOUBLE), (0.5), (1.0)) t(theta)) SELECT theta, count(*) AS n, round(avg(y), 9) AS mean, round(stddev_samp(y), 9) AS sd FROM y GROUP BY theta""")
+@query("scale_noise_response", "WITH " + LOGITS + """, y AS (SELECT vec_id, theta, list_sum(list_transform(range(1, 65), lambda i: z[i] * theta * i / 64)) + ('0x' || sha256(concat_ws(chr(31), '17', vec_id::VARCHAR))[1:7])::BIGINT / 268435456.0 - 0.5 AS y FROM z, (VALUES (0.0::DOUBLE), (0.5), (1.0)) t(theta)) SELECT theta, count(*) AS n, round(avg(y), 9) AS mean, round(stddev_samp(y), 9) AS sd FROM y GROUP BY theta""")
 def scale_noise_response(spark, sf_dir):
     """A linear model with noise by hash, under an intervention that scales its input; scale one leaves the sample as it is."""
     noise = F.conv(F.substring(stable_key("17", F.col("vec_id").cast("string")), 1, 7), 16, 10).cast("double") / 268435456.0 - 0.5
     rows = logits(spark, sf_dir).select("vec_id", "z", noise.alias("noise"), F.explode(F.array(*[F.lit(x) for x in (0.0, 0.5, 1.0)])).alias("theta"))
-    y = vectors.total(F.transform("z", lambda x, i: x * F.col("theta") * (i + 1) / 8)) + F.col("noise")
+    y = vectors.total(F.transform("z", lambda x, i: x * F.col("theta") * (i + 1) / 64)) + F.col("noise")
     return rows.select("theta", y.alias("y")).groupBy("theta").agg(F.count("*").alias("n"), R9(F.avg("y")).alias("mean"), R9(F.stddev_samp("y")).alias("sd"))
 
 

@@ -71,7 +71,7 @@ def weight_intervals(spark, sf_dir):
 @query("temperature_fit")
 def temperature_fit(spark, sf_dir):
     """The temperature of each hundred of ids that fits the gold options best: golden section over log T on a group's few rows."""
-    rows = logits(spark, sf_dir).select(F.floor(F.col("vec_id") / 100).alias("grp"), "z", (F.col("label") % 8).alias("gold"))
+    rows = logits(spark, sf_dir).select(F.floor(F.col("vec_id") / 100).alias("grp"), "z", (F.col("label") % 64).alias("gold"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         z, gold = np.stack(pdf["z"].to_list()), pdf["gold"].to_numpy()
@@ -87,13 +87,13 @@ def temperature_fit(spark, sf_dir):
     return rows.where("gold IS NOT NULL").groupBy("grp").applyInPandas(solve, "grp long, temperature double, nll double, nll_raw double, n long")
 
 
-@query("label_bias_fit", "WITH " + """z AS (SELECT label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS z FROM embeddings WHERE embedding IS NOT NULL),
-u AS (SELECT label, i, z[i] AS v FROM z, range(1, 9) q(i)), c AS (SELECT label, i, avg(v) AS m FROM u GROUP BY ALL), a AS (SELECT label, avg(m) AS m FROM c GROUP BY label)
+@query("label_bias_fit", "WITH " + """z AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT label, i, z[i] AS v FROM z, range(1, 65) q(i)), c AS (SELECT label, i, avg(v) AS m FROM u GROUP BY ALL), a AS (SELECT label, avg(m) AS m FROM c GROUP BY label)
 SELECT label, (i - 1)::INTEGER AS place, round(c.m - a.m, 9) AS bias FROM c JOIN a USING (label)""")
 def label_bias_fit(spark, sf_dir):
     """Additive position effects of each label that sum to zero: in a balanced design the least-squares fit is the centred means."""
-    cells = logits(spark, sf_dir).groupBy("label").agg(F.array(*[F.avg(F.get("z", F.lit(i))) for i in range(8)]).alias("m"))
-    bias = F.transform("m", lambda x: x - vectors.total(F.col("m")) / 8)
+    cells = logits(spark, sf_dir).groupBy("label").agg(F.array(*[F.avg(F.get("z", F.lit(i))) for i in range(64)]).alias("m"))
+    bias = F.transform("m", lambda x: x - vectors.total(F.col("m")) / 64)
     return cells.select("label", F.posexplode(bias).alias("place", "bias")).select("label", "place", F.round("bias", 9).alias("bias"))
 
 

@@ -113,37 +113,37 @@ def condition_decode(spark, sf_dir):
 
 
 @query("generated_frequencies", "WITH " + SOFT + """, a AS (SELECT label, (list_position(p, list_max(p)) - 1)::INTEGER AS a, vec_id % 7 = 0 AS malformed FROM p)
-SELECT label, i::INTEGER AS option, round(count(*) FILTER (a = i AND NOT malformed) / count(*), 9) AS frequency, round(avg(malformed::INTEGER), 9) AS malformed FROM a, range(8) r(i) GROUP BY ALL""")
+SELECT label, i::INTEGER AS option, round(count(*) FILTER (a = i AND NOT malformed) / count(*), 9) AS frequency, round(avg(malformed::INTEGER), 9) AS malformed FROM a, range(64) r(i) GROUP BY ALL""")
 def generated_frequencies(spark, sf_dir):
     """Share of each answer, with the malformed ones as mass of their own: conditional sums, then one array."""
     a = logits(spark, sf_dir).select("label", vectors.argmax(F.col("z")).alias("a"), (F.col("vec_id") % 7 == 0).alias("bad"))
     share = lambda i: F.sum(((F.col("a") == i) & ~F.col("bad")).cast("int")) / F.count("*")
-    f = a.groupBy("label").agg(F.array(*[share(i) for i in range(8)]).alias("f"), R9(F.avg(F.col("bad").cast("int"))).alias("malformed"))
+    f = a.groupBy("label").agg(F.array(*[share(i) for i in range(64)]).alias("f"), R9(F.avg(F.col("bad").cast("int"))).alias("malformed"))
     return f.select("label", F.posexplode("f").alias("option", "frequency"), "malformed").select("label", "option", R9("frequency").alias("frequency"), "malformed")
 
 
-@query("option_permutation_audit", "WITH " + SOFT + """, u AS (SELECT vec_id, label, i, p[i] AS a, p[((i + 2) % 8 + 1)::INTEGER] AS b FROM p, range(1, 9) q(i)), t AS (SELECT vec_id, any_value(label) AS label, 0.5 * sum(abs(a - b)) AS tv, max(a) FILTER (i = label % 8 + 1) - max(b) FILTER (i = label % 8 + 1) AS gold FROM u GROUP BY vec_id)
+@query("option_permutation_audit", "WITH " + SOFT + """, u AS (SELECT vec_id, label, i, p[i] AS a, p[((i + 2) % 64 + 1)::INTEGER] AS b FROM p, range(1, 65) q(i)), t AS (SELECT vec_id, any_value(label) AS label, 0.5 * sum(abs(a - b)) AS tv, max(a) FILTER (i = label % 64 + 1) - max(b) FILTER (i = label % 64 + 1) AS gold FROM u GROUP BY vec_id)
 SELECT label, round(avg(tv), 9) AS mean_tv, round(quantile_cont(tv, 0.95), 9) AS p95_tv, round(avg(gold), 9) + 0.0 AS gold_change FROM t GROUP BY label""")
 def option_permutation_audit(spark, sf_dir):
     """Distance between a row's vector and one with its options turned: mean and 95th percentile."""
     rows = logits(spark, sf_dir).select("label", vectors.softmax(F.col("z")).alias("p"))
-    turned = F.transform("p", lambda x, i: F.get("p", (i + 3) % 8))
-    t = rows.withColumn("q", turned).select("label", vectors.total_variation(F.col("p"), F.col("q")).alias("tv"), (F.get("p", F.col("label") % 8) - F.get("q", F.col("label") % 8)).alias("gold"))
+    turned = F.transform("p", lambda x, i: F.get("p", (i + 3) % 64))
+    t = rows.withColumn("q", turned).select("label", vectors.total_variation(F.col("p"), F.col("q")).alias("tv"), (F.get("p", F.col("label") % 64) - F.get("q", F.col("label") % 64)).alias("gold"))
     return t.groupBy("label").agg(R9(F.avg("tv")).alias("mean_tv"), R9(F.percentile("tv", F.lit(0.95))).alias("p95_tv"), (R9(F.avg("gold")) + 0.0).alias("gold_change"))
 
 
-@query("bias_corrected_distance", "WITH " + LOGITS + """, u AS (SELECT vec_id, label, i, z[i] AS v FROM z, range(1, 9) q(i)), m AS (SELECT label, i, avg(v) AS m FROM u WHERE vec_id % 2 = 0 GROUP BY ALL),
+@query("bias_corrected_distance", "WITH " + LOGITS + """, u AS (SELECT vec_id, label, i, z[i] AS v FROM z, range(1, 65) q(i)), m AS (SELECT label, i, avg(v) AS m FROM u WHERE vec_id % 2 = 0 GROUP BY ALL),
 c AS (SELECT label, i, m - avg(m) OVER (PARTITION BY label) AS bias FROM m), e AS (SELECT vec_id, label, i, exp(v) AS raw, exp(v - bias) AS fixed FROM u JOIN c USING (label, i) WHERE vec_id % 2 = 1),
 n AS (SELECT *, raw / sum(raw) OVER (PARTITION BY vec_id) AS p, fixed / sum(fixed) OVER (PARTITION BY vec_id) AS q FROM e)
-SELECT label, round(sum(abs(p - 0.125)) / 2 / count(DISTINCT vec_id), 9) AS before, round(sum(abs(q - 0.125)) / 2 / count(DISTINCT vec_id), 9) AS after FROM n GROUP BY label""")
+SELECT label, round(sum(abs(p - 0.015625)) / 2 / count(DISTINCT vec_id), 9) AS before, round(sum(abs(q - 0.015625)) / 2 / count(DISTINCT vec_id), 9) AS after FROM n GROUP BY label""")
 def bias_corrected_distance(spark, sf_dir):
     """Distance to even answers before and after taking off position effects that other rows gave."""
     rows = logits(spark, sf_dir)
-    cells = rows.where("vec_id % 2 = 0").groupBy("label").agg(F.array(*[F.avg(F.get("z", F.lit(i))) for i in range(8)]).alias("m"))
-    bias = cells.select("label", F.transform("m", lambda x: x - vectors.total(F.col("m")) / 8).alias("bias"))
+    cells = rows.where("vec_id % 2 = 0").groupBy("label").agg(F.array(*[F.avg(F.get("z", F.lit(i))) for i in range(64)]).alias("m"))
+    bias = cells.select("label", F.transform("m", lambda x: x - vectors.total(F.col("m")) / 64).alias("bias"))
     held = rows.where("vec_id % 2 = 1").join(bias, "label")
     fixed = F.zip_with("z", "bias", lambda z, b: z - b)
-    far = lambda p: vectors.total(p, lambda x: F.abs(x - 0.125)) / 2
+    far = lambda p: vectors.total(p, lambda x: F.abs(x - 0.015625)) / 2
     held = held.select("label", vectors.softmax(F.col("z")).alias("p"), fixed.alias("f")).select("label", far(F.col("p")).alias("b"), far(vectors.softmax(F.col("f"))).alias("a"))
     return held.groupBy("label").agg(R9(F.avg("b")).alias("before"), R9(F.avg("a")).alias("after"))
 
@@ -173,7 +173,7 @@ def nan_to_null(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
-@query("tv_p2", "WITH " + SOFT + """, g AS (SELECT vec_id // 5 AS q, vec_id % 5 AS k, p FROM p), u AS (SELECT q, i, max(p[i]) FILTER (k = 0) AS y, max(p[i]) FILTER (k = 1) AS a, max(p[i]) FILTER (k = 2) AS b FROM g, range(1, 9) r(i) GROUP BY q, i HAVING count(DISTINCT k) = 5),
+@query("tv_p2", "WITH " + SOFT + """, g AS (SELECT vec_id // 5 AS q, vec_id % 5 AS k, p FROM p), u AS (SELECT q, i, max(p[i]) FILTER (k = 0) AS y, max(p[i]) FILTER (k = 1) AS a, max(p[i]) FILTER (k = 2) AS b FROM g, range(1, 65) r(i) GROUP BY q, i HAVING count(DISTINCT k) = 5),
 v AS (SELECT q, i, (y - b) / (a - b) AS v, abs(a - b) AS m FROM u WHERE a <> b), c AS (SELECT *, sum(m) OVER (ORDER BY v, q, i) AS upto, sum(m) OVER () AS whole FROM v), w AS (SELECT least(greatest(min(v) FILTER (upto >= whole / 2), 0), 1) AS w FROM c)
 SELECT round(w, 9) AS weight, round(sum(0.5 * abs(y - w * a - (1 - w) * b)) / count(DISTINCT q), 9) AS mean_tv, count(DISTINCT q) AS n FROM u, w GROUP BY w""")
 def tv_p2(spark, sf_dir):
