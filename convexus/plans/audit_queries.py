@@ -105,6 +105,19 @@ def stored_weights_audit(spark, sf_dir):
     return fits.groupBy("split_seed").agg(F.count("*").alias("n_fits"), R9(F.min(F.least("wa", "wb"))).alias("min_weight"), F.round(F.max(F.abs(F.col("wa") + F.col("wb") - 1)), 12).alias("sum_error"), F.sum(finite.cast("long")).alias("n_finite"))
 
 
+@query("weight_ambiguity", EVAL + """, g AS (SELECT split_seed, t, a, b, any_value(wa) AS wa, avg(res * res) AS loss, avg((x[a + 1] - x[b + 1]) ** 2) AS scale, avg(res * (x[b + 1] - x[a + 1])) AS slope, avg(abs(x[a + 1] - x[b + 1])) AS reach FROM r WHERE side = 'fit' GROUP BY ALL),
+i AS (SELECT *, greatest(0, wa + (-slope - sqrt(slope * slope + 0.01 * loss * scale)) / scale) AS low, least(1, wa + (-slope + sqrt(slope * slope + 0.01 * loss * scale)) / scale) AS high FROM g)
+SELECT split_seed, t, a, b, round(wa, 8) AS weight, round(low, 8) AS low, round(high, 8) AS high, round((high - low) * reach, 8) AS variation FROM i""")
+def weight_ambiguity(spark, sf_dir):
+    """How far a weight can move while its loss stays within 1% (a quadratic's roots), and how far predictions then move on average."""
+    rows = pair_residuals(spark, sf_dir).where("side = 'fit'").withColumn("d", F.get("x", F.col("a")) - F.get("x", F.col("b")))
+    g = rows.groupBy(*PAIR).agg(F.first("wa").alias("wa"), F.avg(F.col("res") * F.col("res")).alias("loss"), F.avg(F.col("d") * F.col("d")).alias("scale"), F.avg(-F.col("res") * F.col("d")).alias("slope"), F.avg(F.abs("d")).alias("reach"))
+    root = F.sqrt(F.col("slope") * F.col("slope") + 0.01 * F.col("loss") * F.col("scale"))
+    low, high = F.greatest(F.lit(0.0), F.col("wa") + (-F.col("slope") - root) / F.col("scale")), F.least(F.lit(1.0), F.col("wa") + (-F.col("slope") + root) / F.col("scale"))
+    r8 = lambda c: F.round(c, 8)
+    return g.select(*PAIR, r8("wa").alias("weight"), r8(low).alias("low"), r8(high).alias("high"), r8((high - low) * F.col("reach")).alias("variation"))
+
+
 @query("coefficient_audit", EVAL + """, g AS (SELECT split_seed, t, a, b, any_value(wa) AS wa, sum(res * (x[b + 1] - x[a + 1])) AS slope, sum((x[a + 1] - x[b + 1]) ** 2) AS scale, count(*) AS n FROM r WHERE side = 'fit' GROUP BY ALL)
 SELECT split_seed, t, a, b, wa BETWEEN 0 AND 1 AS on_simplex, CASE WHEN wa <= 0 THEN slope >= -1e-9 * scale WHEN wa >= 1 THEN slope <= 1e-9 * scale ELSE abs(slope) <= 1e-9 * scale END AS optimal, n FROM g""")
 def coefficient_audit(spark, sf_dir):

@@ -14,6 +14,8 @@ def test_qp_is_optimal_and_l1_proves_its_gap(seed):
     best, _ = solvers.best_support(x.T @ x, x.T @ y)
     assert gap <= 1e-9 and w.min() >= 0 and abs(w.sum() - 1) < 1e-12
     assert ((y - x @ w) ** 2).sum() <= ((y - x @ best) ** 2).sum() + 1e-9
+    u = solvers.projected_gradient(x.T @ x, x.T @ y)
+    assert abs(((y - x @ w) ** 2).sum() - ((y - x @ u) ** 2).sum()) <= 1e-6
     v, gap = solvers.simplex_l1(x, y, np.ones(n))
     assert gap < 1e-6
     loss = np.abs(y - x @ v).mean()

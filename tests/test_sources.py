@@ -79,3 +79,43 @@ def test_stream_resumes(spark, tmp_path):
     add(2, 2, 2.0)
     add(3, 3, 5.0)
     assert run() == {("2024-01-02", 2, 3.0), ("2024-01-03", 1, 5.0)}
+
+
+def test_shards_are_checked_before_use(spark, tmp_path):
+    from convexus.sources import shards
+
+    df = spark.range(100).selectExpr("id", "CAST(id AS string) AS s", "id / 7.0 AS x")
+    paths = [str(tmp_path / f"s{k}") for k in range(2)]
+    for p in paths:
+        shards.write_shard(df, p, "1")
+    assert shards.read_shards(spark, paths, df.schema, "1").count() == 200
+    assert shards.shard_state(spark, paths[0], df.schema, "2") == "version"
+    assert shards.shard_state(spark, str(tmp_path / "none"), df.schema, "1") == "absent"
+    df.limit(99).write.mode("overwrite").parquet(f"{paths[0]}/rows")
+    assert shards.shard_state(spark, paths[0], df.schema, "1") == "rows"
+    df.withColumn("s", F.lit("other")).write.mode("overwrite").parquet(f"{paths[0]}/rows")
+    assert shards.shard_state(spark, paths[0], df.schema, "1") == "digest"
+    with pytest.raises(ValueError, match="digest"):
+        shards.read_shards(spark, paths, df.schema, "1")
+    import shutil
+
+    shutil.rmtree(f"{paths[1]}/mark")
+    assert shards.shard_state(spark, paths[1], df.schema, "1") == "unmarked"
+    assert shards.row_digests(df.limit(3)).select("row_sha256").distinct().count() == 3
+
+
+def test_batches_halve_when_memory_runs_out():
+    import pandas as pd
+
+    from convexus.operators.batches import halving
+
+    def fits(part):
+        if len(part) > 6:
+            raise MemoryError
+        return part["v"].sum()
+
+    frame = pd.DataFrame({"v": range(20)})
+    found = list(halving(fits, frame, 16))
+    assert [a for a, _ in found] == [0, 4, 8, 12, 16] and sum(x for _, x in found) == 190
+    with pytest.raises(MemoryError):
+        list(halving(lambda part: (_ for _ in ()).throw(MemoryError()), frame, 4))
