@@ -100,3 +100,29 @@ def blank_words(tokens, key, share: float, seed: str):
     k = round_half_up(F.size(F.filter(tokens, eligible)) * share)
     # Hashes are hexadecimal, so words that aren't eligible come last.
     return mark_first(tokens, lambda w, i: F.when(eligible(w), stable_key(seed, key, i.cast("string"))).otherwise("z"), k, "___")
+
+
+#: Addresses, with letters that run into them, and words of letters.
+ADDRESS, LETTERED = r"[A-Za-z']*?(?:https?://\S+|www\.\S+)", r"[A-Za-z]+(?:'[A-Za-z]+)?"
+
+
+def delete_words(text, key, track, share: float, seed: str, stopwords: list[str]):
+    """(text, n_eligible, n_deleted): ``text`` with the first floor(share * n + 0.5) of its n eligible words, in hash order, blanked in place.
+
+    Eligible are words of three letters or more that are no stopwords and no part of an address; their order hashes (seed, key,
+    track, place among the eligible, word in lower case), so smaller shares blank a subset of what larger ones do. The
+    text between words stays as it is. All within the row, by sorts.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?is){ADDRESS}|{LETTERED}|[^A-Za-z]"), F.lit(0))
+    all_ = F.transform(pieces, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    long = lambda w: F.length(F.replace(w, F.lit("'"), F.lit(""))) >= 3
+    fits = lambda s: s["w"].rlike(rf"^{LETTERED}$") & long(s["w"]) & ~F.lower(s["w"]).isin(stopwords)
+
+    def marked(own):
+        ranked = F.array_sort(F.transform(own, lambda s, k: F.struct(stable_key(seed, key, track, k.cast("string"), F.lower(s["w"])).alias("h"), k.alias("k"), s["i"].alias("i"), s["w"].alias("w"))))
+        n = round_half_up(F.size(own) * share)
+        return F.transform(F.arrays_zip(ranked.alias("s"), F.array_repeat(n, F.size(own)).alias("n")), lambda p, j: F.struct(p["s"]["i"].alias("i"), F.when(j < p["n"], F.lit("___")).otherwise(p["s"]["w"]).alias("w")))
+
+    own = F.filter(all_, fits)
+    whole = F.array_sort(F.concat(marked(own), F.filter(all_, lambda s: ~fits(s))))
+    return F.array_join(F.transform(whole, lambda s: s["w"]), ""), F.size(own), round_half_up(F.size(own) * share)

@@ -7,10 +7,10 @@ import itertools
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import text, vectors
 from ..functions.hashing import stable_key
 from ..operators import checks
-from ..operators.pairs import pair_fits
+from ..operators.pairs import TRIPLES, pair_fits
 from ..registry import query
 from ..sources.staging import staged
 from ..sources.tables import table
@@ -401,3 +401,30 @@ def stage_markers(spark, sf_dir):
     marked = m.where(~F.col("stage").startswith("3")).select("stage", (F.col("n") + at("1")).alias("n2"), (F.col("h") + at("2")).alias("h2"))
     j = checks.merge(m, marked, ["stage"], "1:1", "left")
     return j.select("stage", F.when(F.col("n2").isNull(), "absent").when(F.col("n") != F.col("n2"), "rows differ").when(F.col("h") != F.col("h2"), "hash differs").otherwise("valid").alias("state"))
+
+
+@query("sentiment_buckets", "WITH " + LOGITS + """, s AS (SELECT vec_id, 1 / (1 + exp(-8 * z[1])) AS p FROM z) SELECT CASE WHEN p <= 0.2 THEN 'negative' WHEN p >= 0.8 THEN 'positive' ELSE 'ambiguous' END AS bucket, count(*) AS n, round(avg(p), 9) AS mean FROM s GROUP BY ALL""")
+def sentiment_buckets(spark, sf_dir):
+    """Rows by the strength of a positive-class probability."""
+    p = logits(spark, sf_dir).select((1 / (1 + F.exp(-8 * F.get("z", F.lit(0))))).alias("p"))
+    return p.groupBy(text.bucket_sentiment(F.col("p")).alias("bucket")).agg(F.count("*").alias("n"), R9(F.avg("p")).alias("mean"))
+
+
+@query("rotation_zero_audit", "WITH " + SOFT + """, m AS (SELECT DISTINCT doc_id AS vec_id, doc_id % 3 = 0 AS wrong FROM labels WHERE doc_id IS NOT NULL), j AS (SELECT m.vec_id, p.p IS NULL AS missing, m.wrong AND p.p IS NOT NULL AS differs FROM m LEFT JOIN p USING (vec_id))
+SELECT vec_id % 5 AS m, count(*) AS n, count(*) FILTER (missing) AS n_missing, count(*) FILTER (differs) AS n_differ FROM j GROUP BY ALL""")
+def rotation_zero_audit(spark, sf_dir):
+    """Stored vectors against what a manifest expects by digest: missing ones, and ones that differ (every third digest is made wrong here)."""
+    p = logits(spark, sf_dir).select("vec_id", F.sha2(F.array_join(F.transform("z", lambda x: x.cast("string")), ","), 256).alias("stored"))
+    named = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("vec_id")).distinct().join(p, "vec_id", "left")
+    expected = F.when(F.col("vec_id") % 3 == 0, F.lit("other")).otherwise(F.col("stored"))
+    j = named.select("vec_id", F.col("stored").isNull().alias("missing"), (F.col("stored") != expected).alias("differs"))
+    n = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long"))
+    return j.groupBy((F.col("vec_id") % 5).alias("m")).agg(F.count("*").alias("n"), n("missing").alias("n_missing"), n("differs").alias("n_differ"))
+
+
+@query("refit_chunks", """SELECT t::INTEGER AS t, a::INTEGER AS a, b::INTEGER AS b, c::INTEGER AS chunk, (c * 20)::INTEGER AS first, least(c * 20 + 20, 1000)::INTEGER AS upto, sha256(concat_ws(chr(31), '41', t::VARCHAR, a::VARCHAR, b::VARCHAR, c::VARCHAR))[1:16] AS seed FROM range(5) q(t), range(5) r(a), range(5) s(b), range(50) k(c) WHERE a < b AND t <> a AND t <> b""")
+def refit_chunks(spark, sf_dir):
+    """Jobs of twenty replicates each for every target and pair, with their seeds: what a resumable run has to finish."""
+    jobs = spark.createDataFrame(TRIPLES, "t int, a int, b int").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    seed = stable_key("41", *[F.col(c).cast("string") for c in ("t", "a", "b", "chunk")])
+    return jobs.select("*", (F.col("chunk") * 20).alias("first"), F.least(F.col("chunk") * 20 + 20, F.lit(1000)).alias("upto"), seed.alias("seed"))

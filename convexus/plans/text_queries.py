@@ -84,6 +84,28 @@ def content_deletion(spark, sf_dir):
     return rows.select("item_id", "v.dose", F.array_join("v.w", " ").alias("text"), F.size(F.filter("v.w", lambda w: w == "___")).cast("long").alias("n_deleted"))
 
 
+#: A parameter: words that no deletion blanks.
+STOPWORDS = ["the", "and", "that", "this", "with", "for", "den", "die", "les", "des", "los", "las"]
+PIECES = r"regexp_extract_all(text, '(?is)[A-Za-z'']*?(?:https?://\S+|www\.\S+)|[A-Za-z]+(?:''[A-Za-z]+)?|[^A-Za-z]')"
+
+
+@query("content_deletion_tracks", f"""WITH b AS (SELECT item_id, text || ' See www.example.org/abc, or xhttp://a.b the And.' AS text FROM benchmark), p AS (SELECT item_id, unnest({PIECES}) AS w, generate_subscripts({PIECES}, 1) AS i FROM b),
+f AS (SELECT *, regexp_full_match(w, '[A-Za-z]+(?:''[A-Za-z]+)?') AND length(replace(w, '''', '')) >= 3 AND lower(w) NOT IN ({", ".join(repr(w) for w in STOPWORDS)}) AS ok FROM p),
+g AS (SELECT *, row_number() OVER (PARTITION BY item_id, ok ORDER BY i) - 1 AS k, count(*) FILTER (ok) OVER (PARTITION BY item_id) AS n FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY item_id, track, ok ORDER BY sha256(concat_ws(chr(31), '31', item_id::VARCHAR, track::VARCHAR, k::VARCHAR, lower(w)))[1:16], k) AS place FROM g, range(3) t(track))
+SELECT item_id, track::INTEGER AS track, dose, sha256(string_agg(CASE WHEN ok AND place <= floor(n * dose + 0.5) THEN '___' ELSE w END, '' ORDER BY i)) AS text_sha256, any_value(n)::INTEGER AS n_eligible, floor(any_value(n) * dose + 0.5)::INTEGER AS n_deleted FROM h, (VALUES (0.1::DOUBLE), (0.25), (0.5)) d(dose) GROUP BY item_id, track, dose""")
+def content_deletion_tracks(spark, sf_dir):
+    """Items under three tracks of deletions, each nested over three doses: words are blanked in place, stopwords and addresses stay."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit(" See www.example.org/abc, or xhttp://a.b the And.")).alias("text"))
+    b = b.withColumn("track", F.explode(F.sequence(F.lit(0), F.lit(2))))
+
+    def version(dose: float):
+        out, n, k = text.delete_words(F.col("text"), F.col("item_id").cast("string"), F.col("track").cast("string"), dose, "31", STOPWORDS)
+        return F.struct(F.lit(dose).alias("dose"), F.sha2(out, 256).alias("text_sha256"), n.alias("n_eligible"), k.alias("n_deleted"))
+
+    return b.select("item_id", "track", F.explode(F.array(*[version(d) for d in (0.1, 0.25, 0.5)])).alias("v")).select("item_id", "track", "v.*")
+
+
 @query("nested_dose_check", "WITH " + TOKENS + """, e AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sha256(concat_ws(chr(31), '11', item_id::VARCHAR, i::VARCHAR))[1:16], i) AS place,
   count(*) OVER (PARTITION BY item_id) AS n FROM k WHERE regexp_matches(word, '^[A-Za-z]{3,}$'))
 SELECT item_id, count(*) FILTER (place <= floor(n * 0.25 + 0.5) AND place > floor(n * 0.5 + 0.5)) AS n_not_nested, max(n) AS n_eligible FROM e GROUP BY item_id""")
