@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,10 @@ def token_bytes(path: str) -> Remembered:
             raise ValueError("ids need more than 16 bits")
         with open(path, encoding="utf-8") as file:
             words, model = word_pattern(json.load(file)), tokenizer.model
-        get = Remembered(lambda word: np.array([t.id for t in model.tokenize(letters_of(word))], "<u2").tobytes(), len).__getitem__
+        tokens = lambda word: [t.id for t in model.tokenize(letters_of(word))]
+        get = Remembered(lambda word: np.array(tokens(word), "<u2").tobytes() if sys.byteorder == "big" else array("H", tokens(word)).tobytes(), len).__getitem__
         whole = lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        _KNOWN[path] = Remembered(lambda chunk: whole(chunk) if "<" in chunk else b"".join(map(get, split_words(words, chunk))), len, 96 << 20)
+        _KNOWN[path] = Remembered(lambda chunk: whole(chunk) if "<" in chunk else b"".join(map(get, split_words(words, chunk))), len, 160 << 20)
     return _KNOWN[path]
 
 

@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def count(batches):
         table = np.zeros((2, SPACE), np.int64)
-        memory = Remembered(feature_hashes, lambda found: 40 + 40 * len(found))
+        memory = Remembered(feature_hashes, lambda found: 40 + 40 * len(found), 48 << 20)
         for batch in batches:
             for positive, words in zip(batch["positive"], batch["words"], strict=True):
                 found = set().union(*map(memory.__getitem__, set(chunks_of(words or ""))))
