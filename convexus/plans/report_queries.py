@@ -19,21 +19,21 @@ from ..sources.tables import table
 from . import oracle
 from .coverage_queries import PAIR, R9, SINGLE, peer_errors
 from .fit_queries import subset_fits
-from .resample_queries import DRAW
+from .resample_queries import DRAW, REPLICATES
 from .text_queries import eligible_sources
 from .vector_queries import LOGITS, SOFT, logits
 
 
-@query("refit_bootstrap", "WITH " + oracle.residuals() + ", qs AS (SELECT DISTINCT category, question FROM e), " + DRAW.format(n=20) + """,
+@query("refit_bootstrap", "WITH " + oracle.residuals() + ", qs AS (SELECT DISTINCT category, question FROM e), " + DRAW.format(n=REPLICATES) + """,
 k AS (SELECT replicate, split_seed, t, a, b, sum(m * (x[t + 1] - x[b + 1]) * (x[a + 1] - x[b + 1])) AS up, sum(m * (x[a + 1] - x[b + 1]) ** 2) AS down FROM w JOIN sp USING (category, question) JOIN mult USING (category, question), tri WHERE side = 'fit' GROUP BY ALL),
 z AS (SELECT replicate, t, a, b, avg(least(greatest(up / down, 0), 1)) AS wa FROM k WHERE down > 1e-12 GROUP BY ALL)
 SELECT t, a, b, round(avg(wa), 8) AS mean, round(quantile_cont(wa, 0.025), 8) AS low, round(quantile_cont(wa, 0.975), 8) AS high, count(*) AS n_replicates FROM z GROUP BY ALL""")
-def refit_bootstrap(spark, sf_dir):
+def refit_bootstrap(spark, sf_dir, replicates: int = REPLICATES):
     """Every replicate refits: the questions' Gram matrices are summed with multiplicities, so no replicate reads a row."""
     rows = aligned_splits(spark, sf_dir).where("side = 'fit'")
     sums = [F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))) for i in range(5) for j in range(i, 5)]
     per_question = rows.groupBy("split_seed", "question").agg(F.array(*sums).alias("g"))
-    counts = resample.multiplicities(ecosystem.responses(spark, sf_dir).select("category", "question"), 20, 77)
+    counts = resample.multiplicities(ecosystem.responses(spark, sf_dir).select("category", "question"), replicates, 77)
     total = per_question.join(counts.where("m > 0").select("replicate", "question", "m"), "question").groupBy("replicate", "split_seed").agg(*[F.sum(F.col("m") * F.get("g", F.lit(k))).alias(f"g{k}") for k in range(15)])
     at = lambda i, j: F.col(f"g{place(i, j, 5)}")
 

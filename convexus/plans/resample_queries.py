@@ -21,16 +21,18 @@ def bootstrap_multiplicities(spark, sf_dir):
     return resample.multiplicities(rows, 10, 77)
 
 
-BOOT = oracle.residuals() + """, qs AS (SELECT DISTINCT category, question FROM e), """ + DRAW.format(n=50) + """,
+#: Replicates of the bootstrap queries.
+REPLICATES = 1000
+BOOT = oracle.residuals() + """, qs AS (SELECT DISTINCT category, question FROM e), """ + DRAW.format(n=REPLICATES) + """,
 l AS (SELECT split_seed, t, a, b, question, avg(abs(x[t + 1] - x[a + 1])) - avg(abs(res)) AS gain FROM r WHERE side = 'eval' GROUP BY ALL),
 v AS (SELECT replicate, t, a, b, split_seed, sum(m * gain) / sum(m) AS gain FROM l JOIN mult USING (question) GROUP BY ALL), k AS (SELECT replicate, t, a, b, avg(gain) AS gain FROM v GROUP BY ALL)"""
 
 
-def replicate_gains(spark, sf_dir):
+def replicate_gains(spark, sf_dir, replicates: int = REPLICATES):
     rows = pair_residuals(spark, sf_dir).where("side = 'eval'")
     gain = F.avg(F.abs(F.get("x", F.col("t")) - F.get("x", F.col("a")))) - F.avg(F.abs("res"))
     losses = rows.groupBy("split_seed", "t", "a", "b", "question").agg(gain.alias("gain"))
-    counts = resample.multiplicities(ecosystem.responses(spark, sf_dir).select("category", "question"), 50, 77)
+    counts = resample.multiplicities(ecosystem.responses(spark, sf_dir).select("category", "question"), replicates, 77)
     return resample.weighted_means(losses, counts, ["split_seed", "t", "a", "b"], "gain").groupBy("replicate", "t", "a", "b").agg(F.avg("gain").alias("gain"))
 
 
