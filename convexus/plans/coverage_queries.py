@@ -306,24 +306,12 @@ def mae_p2(spark, sf_dir):
     return r.join(medians.small(z, N_FITS), PAIR).groupBy(*PAIR).agg(R9(F.first("wl")).alias("wa"), on("fit").alias("fit_mae"), on("eval").alias("eval_mae"))
 
 
-@query("residual_mass_curve", "WITH " + oracle.residuals() + """, o AS (SELECT question, dose, round(abs(res), 12) AS v FROM r WHERE side = 'eval' AND split_seed = 20260828 AND t = 2 AND a = 1 AND b = 3),
-k AS (SELECT *, row_number() OVER (ORDER BY v DESC, question, dose) AS place, sum(v) OVER (ORDER BY v DESC, question, dose) AS upto, sum(v) OVER () AS whole, count(*) OVER () AS n FROM o)
-SELECT question, dose, place::INTEGER AS place, round(v, 9) AS v, round(upto / whole, 9) AS share, round(place / n, 9) AS fraction FROM k""")
-def residual_mass_curve(spark, sf_dir):
-    """What share of all residual mass the largest residuals hold; one target and pair, so at most one row per question and dose."""
-    o = pair_residuals(spark, sf_dir).where("side = 'eval' AND split_seed = 20260828 AND t = 2 AND a = 1 AND b = 3").select("t", "question", "dose", F.round(F.abs("res"), 12).alias("v"))
-    w = Window.partitionBy("t")
-    down = w.orderBy(F.desc("v"), "question", "dose")
-    k = o.select("question", "dose", F.row_number().over(down).alias("place"), "v", F.sum("v").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("v").over(w).alias("whole"), F.count("*").over(w).alias("n"))
-    return k.select("question", "dose", "place", R9("v").alias("v"), R9(F.col("upto") / F.col("whole")).alias("share"), R9(F.col("place") / F.col("n")).alias("fraction"))
-
-
-@query("residual_mass_curve_whole", "WITH " + oracle.residuals() + """, o AS (SELECT split_seed, t, a, b, question, dose, round(abs(res), 12) AS v FROM r WHERE side = 'eval'),
+@query("residual_mass_curve", "WITH " + oracle.residuals() + """, o AS (SELECT split_seed, t, a, b, question, dose, round(abs(res), 12) AS v FROM r WHERE side = 'eval'),
 k AS (SELECT *, row_number() OVER (PARTITION BY split_seed, t, a, b ORDER BY v DESC, question, dose) AS place, sum(v) OVER (PARTITION BY split_seed, t, a, b ORDER BY v DESC, question, dose) AS upto,
   sum(v) OVER (PARTITION BY split_seed, t, a, b) AS whole, count(*) OVER (PARTITION BY split_seed, t, a, b) AS n FROM o)
 SELECT split_seed, t, a, b, question, dose, place::INTEGER AS place, round(v, 9) AS v, round(upto / nullif(whole, 0), 9) AS share, round(place / n, 9) AS fraction FROM k""")
-def residual_mass_curve_whole(spark, sf_dir):
-    """The curve of residual_mass_curve for every split, target and pair; the share is null where all residuals are zero."""
+def residual_mass_curve(spark, sf_dir):
+    """What share of all residual mass the largest residuals hold, for every split, target and pair; the share is null where all residuals are zero."""
     o = pair_residuals(spark, sf_dir).where("side = 'eval'").select(*PAIR, "question", "dose", F.round(F.abs("res"), 12).alias("v"))
     w = Window.partitionBy(*PAIR)
     down = w.orderBy(F.desc("v"), "question", "dose")
@@ -331,25 +319,12 @@ def residual_mass_curve_whole(spark, sf_dir):
     return k.select(*PAIR, "question", "dose", "place", R9("v").alias("v"), R9(F.try_divide("upto", "whole")).alias("share"), R9(F.col("place") / F.col("n")).alias("fraction"))
 
 
-@query("topk_overlap", "WITH " + oracle.residuals() + """, v AS (SELECT t, question, dose, round(avg(abs(res)), 12) AS v FROM r WHERE side = 'eval' AND split_seed = 20260828 GROUP BY ALL),
-o AS (SELECT t, question, dose, row_number() OVER (PARTITION BY t ORDER BY v DESC, question, dose) AS place FROM v),
-j AS (SELECT l.t AS t1, r.t AS t2, greatest(l.place, r.place) AS depth FROM o l JOIN o r USING (question, dose) WHERE l.t < r.t)
-SELECT t1, t2, n::INTEGER AS k, (count(*) FILTER (depth <= n))::INTEGER AS common FROM j, range(1, 41) q(n) GROUP BY t1, t2, n""")
-def topk_overlap(spark, sf_dir):
-    """For k = 1..40, how many of the k largest residuals of two targets are the same rows."""
-    o = pair_residuals(spark, sf_dir).where("side = 'eval' AND split_seed = 20260828").groupBy("t", "question", "dose").agg(F.round(F.avg(F.abs("res")), 12).alias("v"))
-    o = o.withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("v"), "question", "dose")))
-    l, r = o.select(F.col("t").alias("t1"), "question", "dose", F.col("place").alias("p1")), o.select(F.col("t").alias("t2"), "question", "dose", F.col("place").alias("p2"))
-    j = l.join(r, ["question", "dose"]).where("t1 < t2").withColumn("k0", F.greatest("p1", "p2"))
-    return j.groupBy("t1", "t2").agg(*[F.sum((F.col("k0") <= k).cast("int")).cast("int").alias(f"k{k}") for k in range(1, 41)]).select("t1", "t2", F.posexplode(F.array(*[F.col(f"k{k}") for k in range(1, 41)])).alias("i", "common")).select("t1", "t2", (F.col("i") + 1).alias("k"), "common")
-
-
-@query("topk_overlap_whole", "WITH " + oracle.residuals() + """, v AS (SELECT split_seed, t, question, dose, round(avg(abs(res)), 12) AS v FROM r WHERE side = 'eval' GROUP BY ALL),
+@query("topk_overlap", "WITH " + oracle.residuals() + """, v AS (SELECT split_seed, t, question, dose, round(avg(abs(res)), 12) AS v FROM r WHERE side = 'eval' GROUP BY ALL),
 o AS (SELECT split_seed, t, question, dose, row_number() OVER (PARTITION BY split_seed, t ORDER BY v DESC, question, dose) AS place FROM v),
 j AS (SELECT split_seed, l.t AS t1, r.t AS t2, greatest(l.place, r.place) AS depth FROM o l JOIN o r USING (split_seed, question, dose) WHERE l.t < r.t)
 SELECT split_seed, t1, t2, n::INTEGER AS k, (count(*) FILTER (depth <= n))::INTEGER AS common FROM j, range(1, 41) q(n) GROUP BY split_seed, t1, t2, n""")
-def topk_overlap_whole(spark, sf_dir):
-    """The overlap of topk_overlap for every split."""
+def topk_overlap(spark, sf_dir):
+    """For k = 1..40, how many of the k largest residuals of two targets are the same rows, in every split."""
     o = pair_residuals(spark, sf_dir).where("side = 'eval'").groupBy("split_seed", "t", "question", "dose").agg(F.round(F.avg(F.abs("res")), 12).alias("v"))
     o = o.withColumn("place", F.row_number().over(Window.partitionBy("split_seed", "t").orderBy(F.desc("v"), "question", "dose")))
     keys = ["split_seed", "question", "dose"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, text
 from ..operators.blocks import block_join
-from ..registry import SQL, query
+from ..registry import query
 from ..sources.tables import table
 
 WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
@@ -27,22 +27,10 @@ def negation_flag(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.has_negation(F.col("text")).alias("negated"))
 
 
-@query("contains_folded", r"""SELECT d.item_id, c.conv_id, c.turn FROM benchmark d JOIN conversations c
-ON trim(regexp_replace(lower(c.text), '[ \t\n\r\f\x0B]+', ' ', 'g')) = trim(regexp_replace(lower(d.text), '[ \t\n\r\f\x0B]+', ' ', 'g'))
-UNION ALL SELECT item_id, item_id, -1 FROM benchmark WHERE trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) <> ''""")
-def contains_folded(spark, sf_dir):
-    """Conversations whose folded text is an item's, and each item found in a copy of itself with other case and spaces."""
-    fold = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r\f\x0B]+", " "))
-    b, c = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations")
-    same = b.select("item_id", fold.alias("f")).join(c.select("conv_id", "turn", fold.alias("f")), "f").select("item_id", "conv_id", "turn")
-    own = b.where(text.contains_folded(F.upper(F.concat(F.lit("x "), F.replace(F.col("text"), F.lit(" "), F.lit("  ")))), F.col("text")))
-    return same.unionByName(own.select("item_id", F.col("item_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn")))
-
-
-@query("contains_folded_whole", r"""WITH d AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM benchmark),
+@query("contains_folded", r"""WITH d AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM benchmark),
 c AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM conversations)
 SELECT item_id, conv_id, turn FROM d JOIN c ON length(d.f) > 0 AND contains(c.f, d.f)""")
-def contains_folded_whole(spark, sf_dir):
+def contains_folded(spark, sf_dir):
     """Turns whose folded text holds an item's, anywhere.
 
     The words of an item but its first and last are whole words of any text that holds it, so an item of three words
@@ -139,39 +127,7 @@ def eligible_sources(spark, sf_dir):
     return block_join(x, y, [], "item_id", "source").where((F.col("category") != F.col("c2")) & ~held).select("item_id", "source", "n_words")
 
 
-INJECT = f"""b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
-c AS (SELECT x.item_id, y.item_id AS source, y.w, row_number() OVER (PARTITION BY x.item_id ORDER BY sha256(concat_ws(chr(31), '5', x.item_id::VARCHAR, y.item_id::VARCHAR))[1:16], y.item_id) AS place
-  FROM b x JOIN b y ON y.item_id BETWEEN x.item_id + 1 AND x.item_id + 8),
-u AS (SELECT *, sum(len(w)) OVER (PARTITION BY item_id ORDER BY place) AS upto FROM c)"""
-
-
-@query("context_injection", "WITH " + INJECT + """, f AS (SELECT item_id, flatten(list(w ORDER BY place)) AS w FROM u GROUP BY item_id)
-SELECT f.item_id, d.dose::INTEGER AS dose, array_to_string(f.w[1:d.dose], ' ') || chr(10) || chr(10) || benchmark.text AS text FROM f JOIN benchmark USING (item_id), (VALUES (16), (64)) d(dose)""")
-def context_injection(spark, sf_dir):
-    """Words of other items in hash order, cut to nested budgets, before each item; candidates are the eight items that follow."""
-    c = distractors(spark, sf_dir)
-    f = c.groupBy("item_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "w"))), lambda s: s["w"])).alias("w"))  # eight lists
-    f = f.join(table(spark, sf_dir, "benchmark"), "item_id").withColumn("dose", F.explode(F.array(F.lit(16), F.lit(64))))
-    return f.select("item_id", "dose", F.concat(F.array_join(F.slice("w", F.lit(1), F.col("dose")), " "), F.lit("\n\n"), "text").alias("text"))
-
-
-def distractors(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", text.words(F.col("text")).alias("w"))
-    want = b.select("item_id", F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 8)).alias("source"))
-    c = want.join(b.select(F.col("item_id").alias("source"), "w"), "source")
-    key = hashing.stable_key("5", F.col("item_id").cast("string"), F.col("source").cast("string"))
-    return c.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(key, "source")))
-
-
-@query("source_spans", "WITH " + INJECT + """ SELECT item_id, source, place::INTEGER AS place, (upto - len(w))::BIGINT AS span_start, least(upto, 64)::BIGINT AS span_end FROM u WHERE upto - len(w) < 64""")
-def source_spans(spark, sf_dir):
-    """Which words of the context come from which source."""
-    upto = F.sum(F.size("w")).over(Window.partitionBy("item_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    c = distractors(spark, sf_dir).withColumn("upto", upto).withColumn("span_start", (F.col("upto") - F.size("w")).cast("long"))
-    return c.where("span_start < 64").select("item_id", "source", "place", "span_start", F.least("upto", F.lit(64)).cast("long").alias("span_end"))
-
-
-INJECT_WHOLE = f"""b AS (SELECT item_id, item_id % 4 AS category, {WORDS} AS w, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM benchmark),
+INJECT = f"""b AS (SELECT item_id, item_id % 4 AS category, {WORDS} AS w, trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS f FROM benchmark),
 c AS (SELECT x.item_id, y.item_id AS source, y.w, row_number() OVER (PARTITION BY x.item_id ORDER BY sha256(concat_ws(chr(31), '5', x.item_id::VARCHAR, y.item_id::VARCHAR))[1:16], y.item_id) AS place
   FROM b x JOIN b y ON x.category <> y.category AND len(y.w) > 0 AND NOT coalesce(length(x.f) > 0 AND contains(y.f, x.f), false)),
 u AS (SELECT *, sum(len(w)) OVER (PARTITION BY item_id ORDER BY place) AS upto FROM c)"""
@@ -191,9 +147,9 @@ def filled(n_words, value):
     return F.when(F.coalesce(n_words, F.lit(0)) < LARGEST, F.raise_error(F.concat(F.lit("too few context words for item "), F.col("item_id").cast("string")))).otherwise(value)
 
 
-@query("context_injection_whole", "WITH " + INJECT_WHOLE + """, f AS (SELECT item_id, flatten(list(w ORDER BY place)) AS w FROM u GROUP BY item_id)
+@query("context_injection", "WITH " + INJECT + """, f AS (SELECT item_id, flatten(list(w ORDER BY place)) AS w FROM u GROUP BY item_id)
 SELECT f.item_id, d.dose::INTEGER AS dose, array_to_string(f.w[1:d.dose], ' ') || chr(10) || chr(10) || benchmark.text AS text FROM f JOIN benchmark USING (item_id), (VALUES (16), (64)) d(dose)""")
-def context_injection_whole(spark, sf_dir):
+def context_injection(spark, sf_dir):
     """Words of all eligible sources in hash order, cut to nested budgets, before every item."""
     b = table(spark, sf_dir, "benchmark")
     c = ranked_sources(spark, sf_dir).join(b.select(F.col("item_id").alias("source"), text.words(F.col("text")).alias("w")), "source")
@@ -202,8 +158,8 @@ def context_injection_whole(spark, sf_dir):
     return f.select("item_id", "dose", filled(F.size("w"), F.concat(F.array_join(F.slice("w", F.lit(1), F.col("dose")), " "), F.lit("\n\n"), "text")).alias("text"))
 
 
-@query("source_spans_whole", "WITH " + INJECT_WHOLE + """ SELECT item_id, source, place::INTEGER AS place, (upto - len(w))::BIGINT AS span_start, least(upto, 64)::BIGINT AS span_end FROM u WHERE upto - len(w) < 64""")
-def source_spans_whole(spark, sf_dir):
+@query("source_spans", "WITH " + INJECT + """ SELECT item_id, source, place::INTEGER AS place, (upto - len(w))::BIGINT AS span_start, least(upto, 64)::BIGINT AS span_end FROM u WHERE upto - len(w) < 64""")
+def source_spans(spark, sf_dir):
     """Which words of the context come from which source, of all eligible ones."""
     c = ranked_sources(spark, sf_dir).withColumn("n", F.max("upto").over(Window.partitionBy("item_id")))
     c = table(spark, sf_dir, "benchmark").select("item_id").join(c, "item_id", "left")
@@ -249,23 +205,15 @@ def generation_agreement(spark, sf_dir):
     return x.groupBy((F.col("conv_id") % 10).alias("grp")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("f").isNull().cast("int")), 9).alias("malformed"), F.round(F.avg(same), 9).alias("agreement"), F.round(F.avg((F.col("f") == F.col("g")).cast("int")), 9).alias("agreement_valid"))
 
 
-@query("tfidf_similarity", f"""WITH b AS (SELECT item_id, unnest({WORDS}) AS w FROM benchmark), tf AS (SELECT item_id, lower(w) AS w, count(*) AS tf FROM b GROUP BY ALL),
+TFIDF = f"""WITH b AS (SELECT item_id, unnest({WORDS}) AS w FROM benchmark), tf AS (SELECT item_id, lower(w) AS w, count(*) AS tf FROM b GROUP BY ALL),
 df AS (SELECT w, ln((1 + (SELECT count(DISTINCT item_id) FROM b)) / (1 + count(*))) + 1 AS idf, count(*) AS df FROM tf GROUP BY w),
 v AS (SELECT item_id, w, tf * idf AS v, df FROM tf JOIN df USING (w)), n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM v GROUP BY item_id),
-s AS (SELECT l.item_id AS a, r.item_id AS b, sum(l.v * r.v) AS s FROM v l JOIN v r USING (w) WHERE l.item_id < r.item_id AND l.df <= 10 GROUP BY ALL)
-SELECT a, b, round(s / (x.n * y.n), 6) AS similarity FROM s JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b""")
-def tfidf_similarity(spark, sf_dir):
-    """Cosine over the items' rare terms (in ten items at most, so a term never makes more than 45 pairs), weighted by TF-IDF over all terms.
-
-    Pairs that share only commoner terms are not there: tfidf_similarity_whole has all.
-    """
-    v = term_weights(spark, sf_dir)
-    rare = v.where("df <= 10")
-    return cosines(v, term_side(rare, "a", "va").join(term_side(rare, "b", "vb"), "w"))
+s AS (SELECT l.item_id AS a, r.item_id AS b, sum(l.v * r.v) AS s FROM v l JOIN v r USING (w) WHERE l.item_id < r.item_id GROUP BY ALL)
+SELECT a, b, round(s / (x.n * y.n), 6) AS similarity FROM s JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b"""
 
 
-@query("tfidf_similarity_whole", SQL["tfidf_similarity"].replace(" AND l.df <= 10", ""))
-def tfidf_similarity_whole(spark, sf_dir):
+@query("tfidf_similarity", TFIDF)
+def tfidf_similarity(spark, sf_dir):
     """Cosine of every two items that share a term, over all terms; a term of many items is dealt into cells of bounded size."""
     v = term_weights(spark, sf_dir)
     return cosines(v, block_join(term_side(v, "a", "va", "df"), term_side(v, "b", "vb", "df"), ["w"], "a", "b", n="df"))

@@ -26,14 +26,14 @@ def test_tfidf_counts_common_terms(spark, tmp_path):
     df = Counter(w for c in tf.values() for w in c)
     v = {i: {w: n * (math.log(601 / (1 + df[w])) + 1) for w, n in c.items()} for i, c in tf.items()}
     norm = {i: math.sqrt(sum(x * x for x in c.values())) for i, c in v.items()}
-    got = {(r["a"], r["b"]): r["similarity"] for r in catalog.QUERIES["tfidf_similarity_whole"](spark, d).collect()}
+    got = {(r["a"], r["b"]): r["similarity"] for r in catalog.QUERIES["tfidf_similarity"](spark, d).collect()}
     assert len(got) == 600 * 599 // 2
     for (a, b), s in got.items():
         assert s == pytest.approx(sum(x * v[b].get(w, 0) for w, x in v[a].items()) / norm[a] / norm[b], abs=1.1e-6)
 
 
 def test_residual_curves_of_every_split_and_pair(spark, sf_dir):
-    rows = catalog.QUERIES["residual_mass_curve_whole"](spark, sf_dir).collect()
+    rows = catalog.QUERIES["residual_mass_curve"](spark, sf_dir).collect()
     sets = {(r["split_seed"], r["t"], r["a"], r["b"]) for r in rows}
     assert len(sets) == 3 * 30
     last = {}
@@ -44,7 +44,7 @@ def test_residual_curves_of_every_split_and_pair(spark, sf_dir):
 
 
 def test_topk_overlap_of_every_split(spark, sf_dir):
-    rows = catalog.QUERIES["topk_overlap_whole"](spark, sf_dir).collect()
+    rows = catalog.QUERIES["topk_overlap"](spark, sf_dir).collect()
     assert {(r["split_seed"], r["t1"], r["t2"], r["k"]) for r in rows} == {(s, a, b, k) for s in (20260828, 20260829, 20260830) for a in range(5) for b in range(a + 1, 5) for k in range(1, 41)}
 
 
@@ -52,7 +52,7 @@ def test_every_eligible_distractor(spark, tmp_path):
     """600 items (nine cells): the first's text is in two others, one text is empty."""
     rows = [(i, {0: "Needle here", 301: "a  NEEDLE\there b", 598: "needle here", 7: " "}.get(i, f"text {i} x")) for i in range(600)]
     d = save(spark, tmp_path, "benchmark", rows, "item_id long, text string")
-    got = [tuple(r) for r in catalog.QUERIES["eligible_distractors_whole"](spark, d).collect()]
+    got = [tuple(r) for r in catalog.QUERIES["eligible_distractors"](spark, d).collect()]
     want = {(i, j) for i, s in rows for j, t in rows if i % 4 != j % 4 and not (fold(s) and fold(s) in fold(t))}
     assert len(got) == len(set(got)) and set(got) == want and (0, 301) not in want
 
@@ -65,13 +65,13 @@ def test_every_item_gets_its_context(spark, tmp_path):
     d = save(spark, tmp_path, "benchmark", rows, "item_id long, text string")
     key = lambda i, j: (hashlib.sha256(f"5\x1f{i}\x1f{j}".encode()).hexdigest()[:16], j)
     pool = {i: sorted((j for j, t in rows if j % 4 != i % 4 and s.lower() not in t.lower()), key=lambda j, i=i: key(i, j))[:64] for i, s in rows}
-    got = {(r["item_id"], r["dose"]): r["text"] for r in catalog.QUERIES["context_injection_whole"](spark, d).collect()}
+    got = {(r["item_id"], r["dose"]): r["text"] for r in catalog.QUERIES["context_injection"](spark, d).collect()}
     assert got == {(i, n): " ".join(f"W{j}" for j in pool[i][:n]) + f"\n\nW{i}" for i, _ in rows for n in (16, 64)}
-    spans = {tuple(r[c] for c in ("item_id", "source", "place", "span_start", "span_end")) for r in catalog.QUERIES["source_spans_whole"](spark, d).collect()}
+    spans = {tuple(r[c] for c in ("item_id", "source", "place", "span_start", "span_end")) for r in catalog.QUERIES["source_spans"](spark, d).collect()}
     assert spans == {(i, j, k + 1, k, k + 1) for i, p in pool.items() for k, j in enumerate(p)}
 
 
-@pytest.mark.parametrize("name", ["context_injection_whole", "source_spans_whole"])
+@pytest.mark.parametrize("name", ["context_injection", "source_spans"])
 def test_too_few_words_are_an_error(spark, tmp_path, name):
     d = save(spark, tmp_path, "benchmark", [(i, f"W{i}") for i in range(20)], "item_id long, text string")
     with pytest.raises(Exception, match="too few context words"):
@@ -83,7 +83,7 @@ def test_items_inside_longer_turns(spark, tmp_path):
     turns = [(0, 0, "He said: breaTHE QUICK brown\nfox JUMPSuit!"), (0, 1, "the quick brown fox walks"), (1, 0, "big  red\tbarns"), (1, 1, "x one two three fourth"), (2, 0, "shorts and two  words"), (2, 1, None), (3, 0, "a a a a a a a"), (3, 1, "a a a a a"), (4, 0, "big  red\tbarns"), (4, 0, "big  red\tbarns")]
     save(spark, tmp_path, "benchmark", items, "item_id long, text string")
     d = save(spark, tmp_path, "conversations", turns, "conv_id long, turn long, text string")
-    got = sorted(tuple(r) for r in catalog.QUERIES["contains_folded_whole"](spark, d).collect())
+    got = sorted(tuple(r) for r in catalog.QUERIES["contains_folded"](spark, d).collect())
     assert got == sorted((i, c, t) for i, s in items for c, t, u in turns if u is not None and fold(s) and fold(s) in fold(u))
     assert len(got) == 8
 
