@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, text
 from ..operators.blocks import block_join
 from ..registry import query
+from ..sources.staging import staged
 from ..sources.tables import table
 
 WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
@@ -237,3 +238,38 @@ def cosines(v, pairs):
     s = pairs.where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
     s = s.join(norm.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(norm.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
     return s.select("a", "b", F.round(F.col("s") / (F.col("na") * F.col("nb")), 6).alias("similarity"))
+
+
+#: Of an item's eligible sources so many at least, or a quarter, are those of low similarity.
+LOW = 20
+
+
+def _track_sql(k: int) -> str:
+    """Sources of one track: those that earlier tracks used come last."""
+    used = " OR ".join(f"(item_id, source) IN (SELECT item_id, source FROM t{j})" for j in range(k)) or "false"
+    return f"""p{k} AS (SELECT item_id, source, n, row_number() OVER (PARTITION BY item_id ORDER BY ({used})::INTEGER, sha256(concat_ws(chr(31), '6', item_id::VARCHAR, '{k}', source::VARCHAR))[1:16], source) AS place FROM low),
+t{k} AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY item_id ORDER BY place) AS upto FROM p{k}) WHERE upto - n < 64)"""
+
+
+@query("context_tracks", TFIDF.replace("WITH b AS", "WITH tb AS").replace("FROM b)", "FROM tb)").replace("FROM b GROUP", "FROM tb GROUP").replace("SELECT a, b, round", ", sim AS (SELECT a, b, round") + "), " + INJECT.split("c AS (SELECT x.item_id")[0] + f"""
+el AS (SELECT x.item_id, y.item_id AS source, len(y.w) AS n, row_number() OVER (PARTITION BY x.item_id ORDER BY coalesce(sim.similarity, 0), y.item_id) AS place, count(*) OVER (PARTITION BY x.item_id) AS many
+  FROM b x JOIN b y ON x.category <> y.category AND len(y.w) > 0 AND NOT coalesce(length(x.f) > 0 AND contains(y.f, x.f), false) LEFT JOIN sim ON sim.a = least(x.item_id, y.item_id) AND sim.b = greatest(x.item_id, y.item_id)),
+low AS (SELECT item_id, source, n FROM el WHERE place <= greatest({LOW}, ceil(0.25 * many))), """ + ", ".join(_track_sql(k) for k in range(3)) + " " + " UNION ALL ".join(f"SELECT {k} AS track, item_id, source, place::INTEGER AS place, (upto - n)::BIGINT AS span_start FROM t{k}" for k in range(3)))
+def context_tracks(spark, sf_dir):
+    """Three contexts of each item from its eligible sources of low similarity, each in a hash order of its own; what an earlier context used comes last."""
+    sim = tfidf_similarity(spark, sf_dir)
+    both = sim.select(F.col("a").alias("item_id"), F.col("b").alias("source"), "similarity").unionByName(sim.select(F.col("b").alias("item_id"), F.col("a").alias("source"), "similarity"))
+    el = eligible_sources(spark, sf_dir).where("n_words > 0").join(both, ["item_id", "source"], "left")
+    w = Window.partitionBy("item_id")
+    el = el.withColumn("rank", F.row_number().over(w.orderBy(F.coalesce("similarity", F.lit(0.0)), "source"))).withColumn("many", F.count("*").over(w))
+    low = staged(spark, ("low_sources", sf_dir), lambda: el.where(F.col("rank") <= F.greatest(F.lit(LOW), F.ceil(0.25 * F.col("many")))).select("item_id", "source", "n_words"))
+    used, out = None, None
+    for track in range(3):
+        rows = low.withColumn("used", F.lit(0)) if used is None else low.join(used.withColumn("used", F.lit(1)), ["item_id", "source"], "left").fillna(0, ["used"])
+        down = w.orderBy("used", hashing.stable_key("6", F.col("item_id").cast("string"), str(track), F.col("source").cast("string")), "source")
+        rows = rows.withColumn("place", F.row_number().over(down)).withColumn("span_start", F.sum("n_words").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_words")).where(F.col("span_start") < LARGEST)
+        own = rows.select(F.lit(track).alias("track"), "item_id", "source", "place", F.col("span_start").cast("long").alias("span_start"))
+        own = staged(spark, ("context_track", track, sf_dir), lambda own=own: own)
+        named = own.select("item_id", "source")
+        used, out = (named, own) if out is None else (used.unionByName(named).distinct(), out.unionByName(own))
+    return out
