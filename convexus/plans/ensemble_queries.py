@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..functions.hashing import stable_key
+from ..functions.hashing import draw, stable_key
 from ..operators import checks
 from ..operators.pairs import TRIPLES, pair_fits
 from ..registry import query
@@ -428,3 +428,44 @@ def refit_chunks(spark, sf_dir):
     jobs = spark.createDataFrame(TRIPLES, "t int, a int, b int").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(49))))
     seed = stable_key("41", *[F.col(c).cast("string") for c in ("t", "a", "b", "chunk")])
     return jobs.select("*", (F.col("chunk") * 20).alias("first"), F.least(F.col("chunk") * 20 + 20, F.lit(1000)).alias("upto"), seed.alias("seed"))
+
+
+CALIBRATED = TEMPERED + """, bt AS (SELECT m, arg_min(temp, (round(raw, 10), k)) AS temp FROM l GROUP BY m), se AS (SELECT vec_id, m, list_transform(z, lambda x: exp((x - list_max(z)) / temp)) AS e FROM (SELECT vec_id, vec_id % 5 AS m, z FROM z0) JOIN bt USING (m)),
+ve AS (SELECT m::INTEGER AS m, vec_id // 5 % 40 AS q, i::INTEGER AS i, avg(e[i] / list_sum(e)) AS v FROM se, range(1, 65) r(i) GROUP BY ALL),
+vw AS""" + CELLS.split("vw AS")[1]
+
+
+def calibrated_wide(spark, sf_dir):
+    """The vectors of ``vector_wide`` under each model's fitted temperature, which is held fixed from here on."""
+    best = tempered(spark, sf_dir).groupBy("m").agg(F.min_by("temp", F.struct(F.round("raw", 10), "k")).alias("temp"))
+    rows = logits(spark, sf_dir).select((F.col("vec_id") % 5).alias("m"), (F.floor(F.col("vec_id") / 5) % 40).alias("q"), "z").join(F.broadcast(best), "m")  # 5 rows
+    p = vectors.normalized(vectors.let(F.array_max("z"), lambda top: F.transform("z", lambda x: F.exp((x - top) / F.col("temp")))))
+    cells = rows.select(F.col("m").cast("int").alias("m"), "q", p.alias("p")).groupBy("m", "q").agg(F.array(*[F.avg(F.get("p", F.lit(i))) for i in range(64)]).alias("p"))
+    return vector_wide(spark, sf_dir, staged(spark, ("calibrated", sf_dir), lambda: cells))
+
+
+@query("calibrated_vector_fit", "WITH " + CALIBRATED + ", " + vector_fit_sql("f") + f" SELECT t, a, b, round(any_value(w), 8) AS weight, round(avg(tv), 8) AS mean_tv FROM {tv_sql('f')} GROUP BY t, a, b")
+def calibrated_vector_fit(spark, sf_dir):
+    """Fits of vectors whose models are calibrated first."""
+    rows = calibrated_wide(spark, sf_dir)
+    return judged(rows, fit_vectors(rows)).groupBy("t", "a", "b").agg(F.round(F.first("w"), 8).alias("weight"), F.round(F.avg("tv"), 8).alias("mean_tv"))
+
+
+QDRAW = """qd AS (SELECT q, replicate::INTEGER AS replicate, ('0x' || sha256(concat_ws(chr(31), '53', replicate::VARCHAR, q::VARCHAR))[1:7])::BIGINT % 20 AS pick, side FROM (SELECT DISTINCT q, side FROM vw), range(20) r(replicate)),
+qm AS (SELECT x.q, x.replicate, count(d.q) AS n FROM qd x LEFT JOIN qd d ON d.replicate = x.replicate AND d.side = x.side AND d.pick = x.q // 2 GROUP BY ALL)"""
+
+
+@query("calibrated_bootstrap", "WITH " + CALIBRATED + ", " + QDRAW + """, kf AS (SELECT replicate, t, a, b, least(greatest(sum(n * (x[t + 1] - x[b + 1]) * (x[a + 1] - x[b + 1])) / sum(n * (x[a + 1] - x[b + 1]) ** 2), 0), 1) AS w FROM vw JOIN qm USING (q), tri WHERE side = 'fit' GROUP BY ALL),
+ke AS (SELECT replicate, t, a, b, sum(n * abs(x[t + 1] - w * x[a + 1] - (1 - w) * x[b + 1])) / sum(n) AS e FROM vw JOIN qm USING (q) JOIN kf USING (replicate) WHERE side = 'eval' GROUP BY ALL)
+SELECT t, a, b, round(avg(e), 9) AS mean, round(quantile_cont(e, 0.025), 9) AS low, round(quantile_cont(e, 0.975), 9) AS high, count(*) AS n_replicates FROM ke GROUP BY ALL""")
+def calibrated_bootstrap(spark, sf_dir):
+    """Refit intervals of calibrated responses: temperatures stay fixed while either half of the questions is drawn again."""
+    rows = calibrated_wide(spark, sf_dir)
+    q = rows.select("q", "side").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    q = q.withColumn("pick", draw(F.lit(20), "53", F.col("replicate").cast("string"), F.col("q").cast("string")))
+    n = q.groupBy("replicate", "side", F.col("pick").alias("half")).agg(F.count("*").alias("n"))
+    m = q.select("q", "replicate", "side", F.floor(F.col("q") / 2).cast("int").alias("half")).join(n, ["replicate", "side", "half"], "left").select("q", "replicate", F.coalesce("n", F.lit(0)).alias("n"))
+    j = rows.join(m, "q")
+    fits = pair_fits(j.where("side = 'fit'"), ["replicate"], weight="n").withColumnRenamed("wa", "w")
+    e = j.where("side = 'eval'").join(fits, "replicate").groupBy("replicate", "t", "a", "b").agg((F.sum(F.col("n") * F.abs(off(F.col("w")))) / F.sum("n")).alias("e"))
+    return e.groupBy("t", "a", "b").agg(R9(F.avg("e")).alias("mean"), R9(F.percentile("e", F.lit(0.025))).alias("low"), R9(F.percentile("e", F.lit(0.975))).alias("high"), F.count("*").alias("n_replicates"))
