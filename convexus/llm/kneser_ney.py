@@ -300,11 +300,12 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, key: str = "
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect() if r["lang"] != POOL)  # at most 18,253
     model = QualityModel(scratch, fit_orders(counts, scratch), languages)
     if languages:
-        held = model.losses(known.where("fold").select("text", "lang"), [])
+        kept_out = scratch.save(known.where("fold").select("text", "lang"), "kept_out")  # a join is not planned twice
+        held = model.losses(kept_out, [])
         mean = F.floor(F.col("loss") / F.col("units") * UNIT).cast("long").alias("value")
         held = held.select(F.explode(F.array_distinct(F.array("model_lang", F.lit(POOL)))).alias("lang"), mean)
         model.limits = quantiles(held, scratch, quantile)
-    scratch.drop("trusted", "counts")
+    scratch.drop("trusted", "counts", "kept_out")
     return model
 
 
