@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of a median found at a time, and how often: 36 bits, so medians are exact to 1.5e-11.
-BITS, LEVELS = 12, 3
+BITS, LEVELS = 18, 2
 #: Tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -19,7 +19,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def weighted_medians(rows: DataFrame, keys: list[str], value: str, mass: str, name: str = "median") -> DataFrame:
     """keys, median: the least value up to which half the key's mass lies; 0 where that is negative, 1 where it is above 1.
 
-    No key's values meet in one task: each level sums masses of 4,098 bins at most for a key, finds the median's bin from their
+    No key's values meet in one task: each level sums masses of 262,146 bins at most for a key, finds the median's bin from their
     running totals, and the next level looks into that bin only.
     """
     rows = rows.select(*keys, F.col(value).alias("_v"), F.col(mass).alias("_m")).where("_v IS NOT NULL AND _m > 0")

@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from . import ecosystem, gram, medians, splits
 
 SEEDS = [20260828, 20260829, 20260830]
@@ -60,10 +61,14 @@ def triple_fits(aligned: DataFrame, keys: list[str], n: int = 5, weight: str | N
 
 
 def aligned_splits(spark, sf_dir: str, *extra: str) -> DataFrame:
-    """Aligned responses (x in the roster's order) with each split's side."""
-    frame = ecosystem.responses(spark, sf_dir, *extra)
-    wide = ecosystem.align(frame, ecosystem.MODELS, ["question", "category", "dose", *extra])
-    return wide.join(splits.half_split(frame.select("category", "question"), SEEDS), ["category", "question"])
+    """Aligned responses (x in the roster's order) with each split's side; staged, as fits and evaluations both read them."""
+
+    def make() -> DataFrame:
+        frame = ecosystem.responses(spark, sf_dir, *extra)
+        wide = ecosystem.align(frame, ecosystem.MODELS, ["question", "category", "dose", *extra])
+        return wide.join(splits.half_split(frame.select("category", "question"), SEEDS), ["category", "question"])
+
+    return staged(spark, ("aligned", sf_dir, *extra), make)
 
 
 def pair_residuals(spark, sf_dir: str, *extra: str, fit_when=None) -> DataFrame:

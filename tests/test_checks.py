@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from convexus.functions import hashing, text
 from convexus.operators import checks, ecosystem, gram, solvers
-from convexus.registry import QUERIES
+from convexus.catalog import QUERIES
 from convexus.sources import staging, tables
 
 
