@@ -87,3 +87,16 @@ def test_top_k_matches_brute_force(spark, block):
             best = sorted((-int(x @ y), c) for c, y in fit.items() if c != q and len(y) == len(x))[:4]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
+def test_top_k_with_repeated_ids_and_very_large_components(spark):
+    rows = [(0, [1.0, 2.0], 0, "x"), (0, [1.0, 2.0], 0, "x"), (1, [3.0, 1.0], 0, "x"), (1, [0.5, 9.0], 0, "x"), (2, [1e5, 0.0], 0, "x"), (3, [1e5, 1.0], 0, "x"), (3, [1e5, 1.0], 0, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = topk.top_k(df, df.where("vec_id IN (0, 2)"), k=4).collect()
+    want, asked = [], {(i, tuple(v)) for i, v, _, _ in rows if i in (0, 2)}
+    for q, v in asked:
+        whole = lambda x: [int(np.floor(256 * c)) for c in x]
+        best = sorted((-sum(a * b for a, b in zip(whole(v), whole(w), strict=True)), c) for c, w, _, _ in rows if c != q)[:4]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    assert any(r["score"] == 655360000000000 for r in got)
