@@ -149,7 +149,9 @@ def fit_orders(counts: DataFrame, scratch: Scratch) -> dict[int, tuple[DataFrame
         fit = lambda k, least: F.when(raw(k).isNull(), F.lit(least)).otherwise(F.greatest(F.least(raw(k), F.lit(float(k))), F.lit(0.0)))
         few = few.select("lang", *[fit(k, d).alias(f"d{k}") for k, d in ((1, 0.5), (2, 1.0), (3, 1.5))])
         discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = level.join(F.broadcast(few), "lang").withColumn("d", discount)  # one row for each language
+        # One row for each language; the result is written, so that no use of the model plans or broadcasts this again.
+        level = scratch.save(level.join(F.broadcast(few), "lang").select("lang", "gram", "c", discount.alias("d")), f"discounted{order}")
+        scratch.drop(f"order{order}")
         heads = level.groupBy("lang", F.shiftrightunsigned("gram", BITS).alias("context")).agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("free"))
         out[order] = level.select("lang", F.col("gram").alias("own"), (F.col("c") - F.col("d")).alias("left")), scratch.save(heads, f"heads{order}")
     return out
